@@ -88,5 +88,5 @@ def fixed_probabilities(lines: DataFrame, models: int = 3) -> DataFrame:
     return rows.withColumn("q", q).select("visit_number", "trip_type", "model_index", (F.col("q") / total).alias("p"))
 
 
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})

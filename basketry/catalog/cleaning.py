@@ -162,12 +162,12 @@ def prefix_strip(lines):
 @over_lines(
     "clip_normalise",
     """select visit_number, trip_type, model_index,
-      round(least(greatest(p, 0.01), 0.99) / sum(least(greatest(p, 0.01), 0.99)) over (partition by visit_number, model_index), 6)
+      round(least(greatest(p, 0.01), 0.99) / sum(least(greatest(p, 0.01), 0.99)) over (partition by visit_number, model_index), 9)
         as p from probs""",
 )
 def clip_normalise(lines):
     probs = fixed_probabilities(lines)
-    return rounded(metrics.clip_normalised(probs, "visit_number", "model_index", eps=0.01), "p")
+    return rounded(metrics.clip_normalised(probs, "visit_number", "model_index", eps=0.01), "p", places=9)
 
 
 @over_lines("geometric_blend", "select visit_number, trip_type, round(exp(avg(ln(p))), 6) as p from probs group by 1, 2")

@@ -311,7 +311,7 @@ def _embedding_neighbours(spark, directory, k):
     return neighbors.nearest_neighbours(rows.filter(~test), rows.filter(test), k)
 
 
-@register("knn_join", KNN_SQL + "select query_id, neighbour_id, label, place from r where place <= 10")
+@register("knn_join", KNN_SQL + "select query_id, neighbour_id, label, cast(place as int) as place from r where place <= 10")
 def knn_join(spark, directory):
     return _embedding_neighbours(spark, directory, 10).select("query_id", "neighbour_id", "label", "place")
 

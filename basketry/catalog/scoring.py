@@ -7,7 +7,7 @@ from basketry.models.evaluation import fold, holdout_split
 from basketry.operators import clean, encode, labels, metrics, stats, visits
 from basketry.operators.ranking import value_counts, with_position
 from basketry.operators.sets import max_per_key
-from basketry.plans.scoring import empty_visit_default, final_predictions
+from basketry.plans.scoring import empty_visit_default, final_predictions, final_predictions_of_models
 from basketry.plans.workflow import ensemble
 from basketry.session import fresh_path
 from basketry.sources import files
@@ -158,8 +158,8 @@ FINAL_SQL = f"""select visit_number, trip_type, round(max(p), 6) as p from (
   select visit_number, trip_type, p from probs where model_index = 0 union all {EMPTY_SQL}) z group by 1, 2"""
 
 
-def _final(lines, model_index=0):
-    predicted = fixed_probabilities(lines).filter(F.col("model_index") == model_index).drop("model_index")
+def _final(lines):
+    predicted = fixed_probabilities(lines).filter("model_index = 0").drop("model_index")
     return final_predictions(predicted, lines, CLASSES)
 
 
@@ -176,7 +176,7 @@ def union_predictions(lines):
 
 @over_lines("max_dedup", "select visit_number, trip_type, round(max(p), 6) as p from probs group by 1, 2")
 def max_dedup(lines):
-    return rounded(max_per_key(fixed_probabilities(lines)), "p")
+    return rounded(max_per_key(fixed_probabilities(lines).drop("model_index")), "p")
 
 
 @over_lines("ensemble_mean", "select visit_number, trip_type, round(avg(p), 6) as p from probs group by 1, 2")
@@ -207,14 +207,13 @@ def pred_sink(spark, directory):
 def _write_models(spark, directory):
     root = fresh_path(spark, "model-predictions")
     lines = star_scan_lines(spark, directory)
-    for i in range(2):
-        files.write_model_predictions(_final(lines, i), root, i, CLASSES)
+    files.write_model_predictions(final_predictions_of_models(fixed_probabilities(lines), lines, CLASSES, 3), root, CLASSES)
     return root
 
 
 MODELS_SQL = f"""select visit_number, trip_type, cast(model_index as int) as model_index, round(max(p), 6) as p from (
-  select visit_number, trip_type, model_index, p from probs where model_index < 2
-  union all select e.*, m.model_index from ({EMPTY_SQL}) e cross join (select 0 as model_index union all select 1) m
+  select visit_number, trip_type, model_index, p from probs 
+  union all select e.*, m.model_index from ({EMPTY_SQL}) e cross join (select 0 as model_index union all select 1 union all select 2) m
 ) z group by 1, 2, 3""".replace("select e.*, m.model_index", "select e.visit_number, e.trip_type, m.model_index, e.p")
 
 
@@ -225,14 +224,13 @@ def pred_scan(spark, directory):
 
 @register(
     "ensemble_sink",
-    f"select visit_number, {WIDE_SQL} from (select visit_number, trip_type, round(avg(p), 4) as p from ({MODELS_SQL}) m group by 1, 2) f group by 1",
+    f"select visit_number, {WIDE_SQL} from (select visit_number, trip_type, round(avg(p), 6) as p from ({MODELS_SQL}) m group by 1, 2) f group by 1",
 )
 def ensemble_sink(spark, directory):
-    """Two prediction files, averaged into a third. Read back to four places, where halves of the sixth do not matter."""
+    """Three prediction files, averaged into a fourth."""
     target = fresh_path(spark, "ensemble")
     ensemble(spark, _write_models(spark, directory), target, CLASSES)
-    wide = _read_wide(spark, target)
-    return wide.select("visit_number", *[F.round(f"p_{c}", 4).alias(f"p_{c}") for c in CLASSES])
+    return _read_wide(spark, target)
 
 
 @over_lines(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry import config
@@ -43,13 +43,13 @@ def value_scan_counts(lines: DataFrame, column: str, vocabulary: DataFrame) -> D
         .groupBy(VISIT, column)
         .agg(F.sum("scan_count").alias("scan_sum"))
     )
-    return lookup_join(pairs, vocabulary.select(column), [column])
+    return lookup_join(pairs, vocabulary.select(column), [column], derived=True)
 
 
 def value_line_counts(lines: DataFrame, column: str, vocabulary: DataFrame) -> DataFrame:
     """Lines per visit and vocabulary value. Pass only the lines that should count."""
     pairs = lines.filter(F.col(column).isNotNull()).groupBy(VISIT, column).agg(F.count(F.lit(1)).alias("n_lines"))
-    return lookup_join(pairs, vocabulary.select(column), [column])
+    return lookup_join(pairs, vocabulary.select(column), [column], derived=True)
 
 
 def tfidf_lines(lines: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -59,12 +59,10 @@ def tfidf_lines(lines: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def tfidf_visits(lines: DataFrame) -> DataFrame:
     """Sublinear TF-IDF over the departments of a visit, scaled to length 1."""
-    from pyspark.sql import Window
-
     tf = nonempty_lines(lines).groupBy(VISIT, DEPARTMENT).agg((1 + F.log(F.count(F.lit(1)).cast("double"))).alias("tf"))
     n_visits = nonempty_lines(lines).agg(F.count_distinct(VISIT).cast("double")).scalar()
     idf = tf.groupBy(DEPARTMENT).agg(F.count(F.lit(1)).cast("double").alias("df"))
     idf = idf.select(DEPARTMENT, (F.log((1 + n_visits) / (1 + F.col("df"))) + 1).alias("idf"))
-    weights = lookup_join(tf, idf, [DEPARTMENT]).withColumn("w", F.col("tf") * F.col("idf"))
+    weights = lookup_join(tf, idf, [DEPARTMENT], derived=True).withColumn("w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(VISIT)))
     return weights.select(VISIT, DEPARTMENT, (F.col("w") / length).alias("tfidf"))

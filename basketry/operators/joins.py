@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketry.session import materialize
+
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 HEAVY_SHARE = 1e-4  # a key holding more than this share of the rows is spread over several tasks
 SALTS = 1024
@@ -33,6 +35,8 @@ def lookup_join(
     lookup: DataFrame,
     on: list[str],
     how: str = "inner",
+    derived: bool = False,
+    row_bytes: int | None = None,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     heavy_share: float = HEAVY_SHARE,
     salts: int = SALTS,
@@ -42,8 +46,13 @@ def lookup_join(
     A lookup table of checked size is broadcast. A larger one is joined by shuffle, and the keys that hold a
     large share of ``big`` are split: their rows get a salt computed from the row itself, so a retried task
     computes the same one, and the few matching lookup rows are repeated once per salt.
+
+    ``derived``: the lookup is itself computed from large tables; it is written once instead of being computed
+    for the check and again for the join. ``row_bytes``: no row is wider than this, so counting rows is enough.
     """
-    if size_in_bytes(lookup) <= max_broadcast_bytes:
+    if derived:
+        lookup = materialize(lookup, "lookup")
+    if (lookup.count() * row_bytes if row_bytes else size_in_bytes(lookup)) <= max_broadcast_bytes:
         return big.join(F.broadcast(lookup), on, how)
     key = F.xxhash64(*on)
     heavy = big.select(key.alias("key")).freqItems(["key"], heavy_share).first()[0]

@@ -18,21 +18,17 @@ BLOCK_ROWS = 4096
 NEIGHBOURS = "query_id bigint, distance2 double, neighbour_id bigint, label int"
 
 
-def squared_distances(queries: np.ndarray, train: np.ndarray) -> np.ndarray:
-    """All squared distances of two blocks, one dimension at a time so that memory stays at rows x rows."""
-    total = np.zeros((len(queries), len(train)))
-    for d in range(queries.shape[1]):
-        difference = queries[:, d, None] - train[None, :, d]
-        total += difference * difference
-    return total
-
-
 def _nearest_in_block(k: int):
     def nearest(queries: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or train.empty:
             return pd.DataFrame({"query_id": [], "distance2": [], "neighbour_id": [], "label": []})
         train = train.sort_values("id", ignore_index=True)
-        distances = squared_distances(np.stack(queries["vec"].to_numpy()), np.stack(train["vec"].to_numpy()))
+        points, known = np.stack(queries["vec"].to_numpy()), np.stack(train["vec"].to_numpy())
+        distances = np.zeros((len(points), len(known)))
+        for d in range(points.shape[1]):  # one dimension at a time: memory stays at rows x rows
+            difference = points[:, d, None] - known[None, :, d]
+            difference *= difference
+            distances += difference
         kept = min(k, len(train))
         best = np.argsort(distances, axis=1, kind="stable")[:, :kept]  # equal distances stay in id order
         return pd.DataFrame(

@@ -16,5 +16,5 @@ def not_in(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
 
 
 def max_per_key(predictions: DataFrame) -> DataFrame:
-    """One row per visit and class with the larger probability."""
-    return predictions.groupBy("visit_number", "trip_type").agg(F.max("p").alias("p"))
+    """One row per visit and class (and model, if there are several) with the larger probability."""
+    return predictions.groupBy(*[c for c in predictions.columns if c != "p"]).agg(F.max("p").alias("p"))

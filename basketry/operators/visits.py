@@ -79,7 +79,7 @@ def value_shares(lines: DataFrame, column: str, vocabulary: DataFrame | None = N
     pairs = nonempty_lines(lines).groupBy(VISIT, column).agg(F.count(F.lit(1)).alias("n"))
     totals = Window.partitionBy(VISIT)
     shares = pairs.select(VISIT, column, ratio("n", F.sum("n").over(totals)).alias("share")).filter(F.col(column).isNotNull())
-    return shares if vocabulary is None else lookup_join(shares, vocabulary.select(column), [column])
+    return shares if vocabulary is None else lookup_join(shares, vocabulary.select(column), [column], derived=True)
 
 
 def empty_visits(lines: DataFrame) -> DataFrame:

@@ -22,7 +22,6 @@ from basketry.functions.columns import (
     returned,
     weekend_flag,
 )
-from basketry.operators import vocabulary
 from basketry.operators.clean import nonempty_lines
 from basketry.operators.joins import lookup_join
 from basketry.operators.ranking import with_position
@@ -92,21 +91,34 @@ class FeatureModel:
 
     @classmethod
     def fit(cls, lines: DataFrame, config: FeatureConfig | None = None) -> FeatureModel:
+        """One pass over the lines counts every department, fineline and product; the rest works on those counts."""
         config = config or FeatureConfig()
-        dept = vocabulary.departments(lines).select(F.col(DEPARTMENT).alias("value"))
-        shares = dept if config.share_departments is None else dept.filter(F.col("value").isin(config.share_departments))
-        merged = dept.select(replace_by("value", config.merges).alias("value")).distinct()
-        fineline = vocabulary.frequent(lines, FINELINE, config.fineline_count, config.excluded_department)
-        upc = vocabulary.frequent(lines, "upc", config.upc_count, config.excluded_department)
-        values = [shares, merged, dept, fineline.select(F.col(FINELINE).alias("value")), upc.select(F.col("upc").alias("value"))]
-        listed = None
-        for number, (block, found) in enumerate(zip(BLOCKS, values, strict=True)):
-            part = found.select(F.lit(number).alias("place"), F.lit(block).alias("block"), F.col("value").cast("string"))
-            listed = part if listed is None else listed.unionByName(part)
+        kinds = {"dept": F.col(DEPARTMENT), "fineline": F.col(FINELINE), "upc": F.col("upc")}
+        keyed = F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("string").alias("value")) for k, c in kinds.items()])
+        counted = F.count_if(F.col(DEPARTMENT) != config.excluded_department).alias("n")
+        counts = (
+            nonempty_lines(lines).select(DEPARTMENT, F.inline(keyed)).filter(F.col("value").isNotNull())
+            .groupBy("kind", "value").agg(counted)
+        )
+        is_dept = F.col("kind") == "dept"
+        shared = F.lit(True) if config.share_departments is None else F.col("value").isin(config.share_departments)
+        used = [
+            is_dept & shared,
+            is_dept,
+            is_dept,
+            (F.col("kind") == "fineline") & (F.col("n") > config.fineline_count),
+            (F.col("kind") == "upc") & (F.col("n") > config.upc_count),
+        ]
+        values = [F.col("value")] * len(BLOCKS)
+        values[BLOCKS.index("dept_lines")] = replace_by("value", config.merges)
+        entries = [
+            F.when(condition, F.struct(F.lit(i).alias("place"), F.lit(block).alias("block"), value.alias("value")))
+            for i, (block, condition, value) in enumerate(zip(BLOCKS, used, values, strict=True))
+        ]
+        listed = counts.select(F.inline(F.array_compact(F.array(*entries)))).distinct()
         start = len(SCALARS) + len([g for g in config.groups if g not in UNUSED_GROUPS])
         numbered = with_position(listed, F.asc("place"), F.asc("value"), name="feature_idx", start=start)
-        numbered = numbered.select("block", "value", F.col("feature_idx").cast("int"))
-        features = materialize(numbered, "features")
+        features = materialize(numbered.select("block", "value", F.col("feature_idx").cast("int")), "features")
         return cls(config, features, features.count())
 
     def save(self, path: str) -> None:
@@ -154,9 +166,7 @@ class FeatureModel:
         keyed = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in kinds.items()])
         base = [VISIT, "scan_count", weekend_flag().alias("day"), *(["trip_type"] if labelled else [])]
         unpivoted = (
-            nonempty_lines(lines).select(*base, F.explode(keyed).alias("e"))
-            .select(*[c if isinstance(c, str) else "day" for c in base], "e.kind", "e.value")
-            .filter(F.col("value").isNotNull())
+            nonempty_lines(lines).select(*base, F.inline(keyed)).filter(F.col("value").isNotNull())
         )
         pairs = unpivoted.groupBy(VISIT, "kind", "value").agg(
             F.count(F.lit(1)).alias("n"),

@@ -26,3 +26,10 @@ def empty_visit_default(lines: DataFrame, classes: list[int]) -> DataFrame:
 def final_predictions(predicted: DataFrame, lines: DataFrame, classes: list[int]) -> DataFrame:
     """Predicted and empty visits together, one row per visit and class."""
     return max_per_key(predicted.unionByName(empty_visit_default(lines, classes)))
+
+
+def final_predictions_of_models(predicted: DataFrame, lines: DataFrame, classes: list[int], n_models: int) -> DataFrame:
+    """The same for predictions of several models (column ``model_index``), in one pass over the lines."""
+    every = F.explode(F.array(*[F.lit(i) for i in range(n_models)]))
+    empty = empty_visit_default(lines, classes).withColumn("model_index", every)
+    return max_per_key(predicted.unionByName(empty))

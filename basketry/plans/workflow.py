@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from basketry.models.persistence import save_model
 from basketry.operators import profile, ranking, sets
 from basketry.operators.metrics import ensemble_mean
 from basketry.plans.features import FeatureModel
-from basketry.plans.scoring import final_predictions, predict
+from basketry.plans.scoring import final_predictions_of_models, predict
 from basketry.session import materialize
 from basketry.sources import files
 
@@ -81,16 +82,18 @@ def begin_train(
 
 
 def begin_test(trained: Trained, test: DataFrame, root: str) -> None:
-    """Predict every test visit with every model, and write one set of files per model."""
+    """Predict every test visit with every model, and write one folder per model."""
     matrix = prepare_test(test, trained.features)
     if trained.blend:
         matrix = materialize(trained.blend.transform(matrix), "test-matrix")
-    for i, model in enumerate(trained.models):
-        predictions = final_predictions(predict(model, matrix), test, model.classes)
-        files.write_model_predictions(predictions, root, i, model.classes)
+    classes = trained.models[0].classes
+    each = [predict(m, matrix).withColumn("model_index", F.lit(i)) for i, m in enumerate(trained.models)]
+    predicted = reduce(lambda a, b: a.unionByName(b), each)
+    finals = final_predictions_of_models(predicted, test, classes, len(each))
+    files.write_model_predictions(finals, root, classes)
 
 
 def ensemble(spark, root: str, target: str, classes: list[int]) -> None:
     """The mean over all models of a prediction folder, in the same wide form."""
     predictions = files.read_predictions(spark, root, classes)
-    files.write_predictions(ensemble_mean(predictions).withColumn("p", F.round("p", 6)), target, classes, sort=True)
+    files.write_predictions(ensemble_mean(predictions), target, classes, sort=True)
