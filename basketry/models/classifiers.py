@@ -120,7 +120,8 @@ class BoostedModel:
         holdout = indexed(holdout, self.classes)
         found = []
         for i, model in enumerate(self.models):
-            losses = model.evaluateEachIteration(holdout.withColumn("class_idx", (F.col("class_idx") == i).cast("double")))
+            own = (F.col("class_idx") == i).cast("double").alias(model.getLabelCol())
+            losses = model.evaluateEachIteration(holdout.select(own, "features"))
             best = min(range(len(losses)), key=losses.__getitem__)
             found.append((self.classes[i], best + 1, float(losses[best])))
         return found

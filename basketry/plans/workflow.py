@@ -28,8 +28,11 @@ def prepare_train(lines: DataFrame, config: FeatureConfig | None = None) -> tupl
 
 
 def prepare_test(lines: DataFrame, features: FeatureModel) -> DataFrame:
-    """Test visits in the columns of the training vocabulary; values it does not have are ignored."""
-    return features.transform(lines)
+    """Test visits in the columns of the training vocabulary; values it does not have are ignored.
+
+    Written once: every model reads the vectors again, and none should compute them again.
+    """
+    return materialize(features.transform(lines), "test-matrix")
 
 
 def write_profiles(train: DataFrame, test: DataFrame, root: str) -> None:
@@ -85,7 +88,7 @@ def begin_test(trained: Trained, test: DataFrame, root: str) -> None:
     """Predict every test visit with every model, and write one folder per model."""
     matrix = prepare_test(test, trained.features)
     if trained.blend:
-        matrix = materialize(trained.blend.transform(matrix), "test-matrix")
+        matrix = trained.blend.transform(matrix)
     classes = trained.models[0].classes
     each = [predict(m, matrix).withColumn("model_index", F.lit(i)) for i, m in enumerate(trained.models)]
     predicted = reduce(lambda a, b: a.unionByName(b), each)
