@@ -9,7 +9,7 @@ from basketry.operators.joins import join_blocks
 from basketry.plans.features import FeatureModel, triples, vector_triples
 from basketry.plans.workflow import prepare_test, prepare_train
 from basketry.session import fresh_path
-from basketry.sources.tables import star_scan_lines, table, test_lines, train_lines
+from basketry.sources.tables import star_scan_lines, table, scoring_lines, training_lines
 
 DEPT, FINE = "department_description", "fineline_number"
 MERGED = f"case when {DEPT} = 'Brand#24' then 'Brand#25' else {DEPT} end"
@@ -22,7 +22,7 @@ def frequent_sql(column, more_than, source="scans", excluded=True):
 
 @over_lines("dept_vocab", f"select {DEPT}, row_number() over (order by {DEPT}) - 1 as feature_idx from (select distinct {DEPT} from train where {DEPT} is not null) d")
 def dept_vocab(lines):
-    return vocabulary.indexed_departments(train_lines(lines))
+    return vocabulary.indexed_departments(training_lines(lines))
 
 
 @over_lines("fineline_vocab", frequent_sql(FINE, FINELINES))
@@ -174,7 +174,7 @@ def named(entries, model):
 @over_lines("matrix_sum", f"select visit_number, feature, value from ({encoded_sql('train', share=False)}) e where value <> 0")
 def matrix_sum(lines):
     """The encoded blocks as the single operators give them."""
-    train = train_lines(lines)
+    train = training_lines(lines)
 
     def block(df, name, column, value):
         feature = F.concat(F.lit(f"{name}="), F.col(column).cast("string")).alias("feature")
@@ -195,15 +195,15 @@ def matrix_sum(lines):
 @over_lines("assemble_matrix", matrix_sql("train"))
 def assemble_matrix(lines):
     """The entries of the training vectors, read back from the vectors."""
-    model, matrix = prepare_train(train_lines(lines), CONFIG)
+    model, matrix = prepare_train(training_lines(lines), CONFIG)
     return named(vector_triples(matrix), model)
 
 
 @over_lines("shared_vocab_columns", matrix_sql("test"))
 def shared_vocab_columns(lines):
     """The entries of the test visits in the columns fitted on the training visits."""
-    model = FeatureModel.fit(train_lines(lines), CONFIG)
-    return named(triples(prepare_test(test_lines(lines), model)), model)
+    model = FeatureModel.fit(training_lines(lines), CONFIG)
+    return named(triples(prepare_test(scoring_lines(lines), model)), model)
 
 
 MATRIX_SQL = f"select visit_number, max(trip_type) as trip_type, {ALL_SCALARS_SQL}, {GROUP_SQL}, count(*) as n_lines from {{}} where {DEPT} is not null group by 1"
@@ -216,18 +216,18 @@ def _wide(matrix):
 @over_lines("visit_feature_matrix", MATRIX_SQL.format("scans"))
 def visit_feature_matrix(lines):
     """All visits with the vocabularies of the training visits; the wide part of the rows."""
-    return _wide(FeatureModel.fit(train_lines(lines), CONFIG).transform(lines))
+    return _wide(FeatureModel.fit(training_lines(lines), CONFIG).transform(lines))
 
 
 @over_lines("prepare_train", MATRIX_SQL.format("train"))
 def prepared_train(lines):
-    return _wide(prepare_train(train_lines(lines), CONFIG)[1])
+    return _wide(prepare_train(training_lines(lines), CONFIG)[1])
 
 
 @over_lines("prepare_test", MATRIX_SQL.format("test").replace("max(trip_type) as trip_type, ", ""))
 def prepared_test(lines):
-    model = FeatureModel.fit(train_lines(lines), CONFIG)
-    return _wide(prepare_test(test_lines(lines).drop("trip_type"), model))
+    model = FeatureModel.fit(training_lines(lines), CONFIG)
+    return _wide(prepare_test(scoring_lines(lines).drop("trip_type"), model))
 
 
 VOCAB_SQL = f"""select feature, row_number() over (order by place, value) + 12 as feature_idx from (
@@ -242,7 +242,7 @@ VOCAB_SQL = f"""select feature, row_number() over (order by place, value) + 12 a
 def vocab_persist(spark, directory):
     """The fitted vocabulary, saved and loaded again."""
     path = fresh_path(spark, "feature-model")
-    FeatureModel.fit(train_lines(star_scan_lines(spark, directory)), CONFIG).save(path)
+    FeatureModel.fit(training_lines(star_scan_lines(spark, directory)), CONFIG).save(path)
     features = FeatureModel.load(spark, path).features
     return features.select(F.concat_ws("=", "block", "value").alias("feature"), F.col("feature_idx").cast("bigint").alias("feature_idx"))
 

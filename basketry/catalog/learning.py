@@ -24,7 +24,7 @@ from basketry.operators.metrics import ensemble_mean
 from basketry.plans.scoring import predict
 from basketry.plans.workflow import begin_test, begin_train, ensemble, prepare_test, prepare_train
 from basketry.session import fresh_path
-from basketry.sources.tables import star_scan_lines, test_lines, train_lines
+from basketry.sources.tables import star_scan_lines, scoring_lines, training_lines
 
 FOREST = Params(n_est=8, max_depth=5, parallelism=8)
 BOOST = Params(n_est=2, max_depth=3, parallelism=8)
@@ -35,8 +35,8 @@ cross join (select distinct trip_type from train where department_description is
 
 
 def matrices(lines: DataFrame):
-    features, train = prepare_train(train_lines(lines), CONFIG)
-    return features, train, prepare_test(test_lines(lines), features)
+    features, train = prepare_train(training_lines(lines), CONFIG)
+    return features, train, prepare_test(scoring_lines(lines), features)
 
 
 def checked(predictions: DataFrame) -> DataFrame:
@@ -89,8 +89,8 @@ COUNT_ARRAY = ", ".join(f"count(case when department_description = '{b}' then 1
 def knn_probs(lines):
     """Exact: the distances are sums of squared whole numbers, and ties go to the lower visit."""
     vectors = department_vectors(clean.nonempty_lines(lines))
-    model = train_model("KNN", train_lines(vectors), Params(n_est=NEIGHBOURS))
-    return rounded(predict(model, test_lines(vectors)), "p")
+    model = train_model("KNN", training_lines(vectors), Params(n_est=NEIGHBOURS))
+    return rounded(predict(model, scoring_lines(vectors)), "p")
 
 
 @over_lines("predict", PREDICTED_SQL)
@@ -227,10 +227,10 @@ def train_and_score(spark, directory):
     """The whole run: train, predict every test visit, write the files, average them."""
     lines = star_scan_lines(spark, directory)
     trained = begin_train(
-        train_lines(lines), "RF", replace(FOREST, n_est=4), n_models=2, config=CONFIG, blend_base={"RF": FOREST, "ET": FOREST}
+        training_lines(lines), "RF", replace(FOREST, n_est=4), n_models=2, config=CONFIG, blend_base={"RF": FOREST, "ET": FOREST}
     )
     root, target = fresh_path(spark, "run-models"), fresh_path(spark, "run-ensemble")
-    begin_test(trained, test_lines(lines).drop("trip_type"), root)
+    begin_test(trained, scoring_lines(lines).drop("trip_type"), root)
     classes = trained.models[0].classes
     ensemble(spark, root, target, classes)
     schema = ", ".join(["VisitNumber bigint", *[f"TripType_{c} double" for c in classes]])

@@ -6,7 +6,7 @@ from basketry.catalog.base import CONFIG, EXCLUDED, FINELINES, over_lines, regis
 from basketry.operators import clean, profile, ranking, sets, vocabulary
 from basketry.session import fresh_path
 from basketry.sources import files
-from basketry.sources.tables import star_scan_lines, test_lines, train_lines
+from basketry.sources.tables import star_scan_lines, scoring_lines, training_lines
 
 DEPT, FINE = "department_description", "fineline_number"
 
@@ -100,7 +100,7 @@ def fineline_frequency(lines):
 
 def _histogram_sql(c):
     return f"""select '{c}' as column_name,
-      cast(coalesce(least(floor((x - lo) / nullif(hi - lo, 0) * 50), 49), 0) as int) as bin, count(*) as n
+      cast(case when hi = lo then 25 else least(floor((x - lo) / nullif(hi - lo, 0) * 50), 49) end as int) as bin, count(*) as n
     from (select cast({c} as double) as x from scans where {c} is not null) v
       cross join (select cast(min({c}) as double) as lo, cast(max({c}) as double) as hi from scans) r
     group by 1, 2"""
@@ -178,7 +178,7 @@ def head_n(lines):
     "select upc from train where upc is not null except select upc from test where upc is not null",
 )
 def upc_train_not_test(lines):
-    return sets.not_in(train_lines(lines), test_lines(lines), "upc")
+    return sets.not_in(training_lines(lines), scoring_lines(lines), "upc")
 
 
 @over_lines(
@@ -186,7 +186,7 @@ def upc_train_not_test(lines):
     f"select {FINE} from train where {FINE} is not null except select {FINE} from test where {FINE} is not null",
 )
 def fineline_train_not_test(lines):
-    return sets.not_in(train_lines(lines), test_lines(lines), FINE)
+    return sets.not_in(training_lines(lines), scoring_lines(lines), FINE)
 
 
 @over_lines(
@@ -197,7 +197,7 @@ def fineline_train_not_test(lines):
     group by 1 having count(*) > {FINELINES}""",
 )
 def fineline_vocab_train(lines):
-    return vocabulary.finelines_shared_with_test(train_lines(lines), test_lines(lines), FINELINES, EXCLUDED)
+    return vocabulary.finelines_shared_with_test(training_lines(lines), scoring_lines(lines), FINELINES, EXCLUDED)
 
 
 # Files ------------------------------------------------------------------------------------------------------------
@@ -217,7 +217,7 @@ def profile_sinks(spark, directory):
 def diff_sink(spark, directory):
     lines = star_scan_lines(spark, directory)
     path = fresh_path(spark, "not-in-test")
-    files.write_lines(sets.not_in(train_lines(lines), test_lines(lines), "upc"), path)
+    files.write_lines(sets.not_in(training_lines(lines), scoring_lines(lines), "upc"), path)
     return spark.read.text(path)
 
 

@@ -11,7 +11,7 @@ from basketry.plans.scoring import empty_visit_default, final_predictions, final
 from basketry.plans.workflow import ensemble
 from basketry.session import fresh_path
 from basketry.sources import files
-from basketry.sources.tables import star_scan_lines, test_lines, train_lines
+from basketry.sources.tables import star_scan_lines, scoring_lines, training_lines
 
 DEPT = "department_description"
 
@@ -83,7 +83,7 @@ def impute_mean(lines):
 def label_encode(lines):
     """Classes numbered on the training visits, applied to all."""
     known = visits.visit_labels(lines)
-    classes = labels.class_values(train_lines(known))
+    classes = labels.class_values(training_lines(known))
     return known.withColumn("class_idx", labels.class_index("trip_type", classes)).filter("class_idx is not null")
 
 
@@ -140,7 +140,7 @@ def multiclass_log_loss(lines):
 )
 def prior_log_loss(lines):
     known = visits.visit_labels(lines)
-    return rounded(metrics.prior_log_loss(train_lines(known), test_lines(known)), "log_loss")
+    return rounded(metrics.prior_log_loss(training_lines(known), scoring_lines(known)), "log_loss")
 
 
 # Predictions ------------------------------------------------------------------------------------------------------
@@ -239,7 +239,7 @@ def ensemble_sink(spark, directory):
     from labels where visit_number % 10 <> 0""",
 )
 def blend_fraction(lines):
-    known = train_lines(visits.visit_labels(lines))
+    known = training_lines(visits.visit_labels(lines))
     is_base = F.col("visit_number") % 5 == 1
     return known.select("visit_number", F.when(is_base, "base").otherwise("rest").alias("part"))
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from basketry.catalog.base import CONFIG, EXCLUDED, over_lines, rounded
 from basketry.operators import clean, stats, visits, vocabulary
-from basketry.sources.tables import planted_labels, test_lines, train_lines
+from basketry.sources.tables import planted_labels, scoring_lines, training_lines
 
 SCALAR_SQL = {
     "day_type": "max(case when weekday in ('Friday', 'Saturday', 'Sunday') then 1 else 0 end)",
@@ -74,8 +74,8 @@ def dept_share(lines):
       group by 1 having count(*) > 500) v on v.fineline_number = s.fineline_number""",
 )
 def fineline_share(lines):
-    train = train_lines(lines)
-    kept = vocabulary.finelines_shared_with_test(train, test_lines(lines), excluded_department=EXCLUDED)
+    train = training_lines(lines)
+    kept = vocabulary.finelines_shared_with_test(train, scoring_lines(lines), excluded_department=EXCLUDED)
     return visits.value_shares(train, "fineline_number", kept)
 
 

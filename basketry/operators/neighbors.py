@@ -19,24 +19,46 @@ NEIGHBOURS = "query_id bigint, distance2 double, neighbour_id bigint, label int"
 
 
 def _nearest_in_block(k: int):
+    """The work of one task: two blocks of rows in, at most k neighbours per query out."""
+
+    def exact(points, known, rows, cols):
+        """Squared distances of listed pairs, a slice of pairs at a time."""
+        found = np.empty(len(rows))
+        step = max(1, 4_000_000 // points.shape[1])
+        for at in range(0, len(rows), step):
+            part = slice(at, at + step)
+            found[part] = ((points[rows[part]] - known[cols[part]]) ** 2).sum(axis=1)
+        return found
+
     def nearest(queries: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or train.empty:
             return pd.DataFrame({"query_id": [], "distance2": [], "neighbour_id": [], "label": []})
         train = train.sort_values("id", ignore_index=True)
         points, known = np.stack(queries["vec"].to_numpy()), np.stack(train["vec"].to_numpy())
-        distances = np.zeros((len(points), len(known)))
-        for d in range(points.shape[1]):  # one dimension at a time: memory stays at rows x rows
-            difference = points[:, d, None] - known[None, :, d]
-            difference *= difference
-            distances += difference
-        kept = min(k, len(train))
-        best = np.argsort(distances, axis=1, kind="stable")[:, :kept]  # equal distances stay in id order
+        kept, lengths = min(k, len(known)), (known * known).sum(axis=1)
+        result = []
+        for at in range(0, len(points), 256):
+            some = points[at : at + 256]
+            own = (some * some).sum(axis=1)
+            # A matrix product gives all distances up to rounding. Whatever the rounding could have put among the
+            # first k is measured again exactly.
+            rough = own[:, None] + lengths[None, :] - 2.0 * (some @ known.T)
+            rounding = 1e-13 * points.shape[1] * (own + lengths.max())
+            limit = np.partition(rough, kept - 1, axis=1)[:, kept - 1] + 2 * rounding
+            rows, cols = np.nonzero(rough <= limit[:, None])
+            distance = exact(some, known, rows, cols)
+            order = np.lexsort((cols, distance, rows))  # columns are in id order
+            rows, cols, distance = rows[order], cols[order], distance[order]
+            first = np.searchsorted(rows, np.arange(len(some)))
+            best = np.arange(len(rows)) - first[rows] < kept
+            result.append((rows[best] + at, cols[best], distance[best]))
+        rows, cols, distance = (np.concatenate(part) for part in zip(*result, strict=True))
         return pd.DataFrame(
             {
-                "query_id": np.repeat(queries["id"].to_numpy(), kept),
-                "distance2": np.take_along_axis(distances, best, axis=1).ravel(),
-                "neighbour_id": train["id"].to_numpy()[best].ravel(),
-                "label": train["label"].to_numpy()[best].ravel(),
+                "query_id": queries["id"].to_numpy()[rows],
+                "distance2": distance,
+                "neighbour_id": train["id"].to_numpy()[cols],
+                "label": train["label"].to_numpy()[cols],
             }
         )
 

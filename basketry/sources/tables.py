@@ -70,12 +70,12 @@ def star_scan_lines(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def train_lines(lines: DataFrame) -> DataFrame:
+def training_lines(lines: DataFrame) -> DataFrame:
     """Nine visits of ten; the rest plays the part of the test file."""
     return lines.filter(F.col("visit_number") % 10 != 0)
 
 
-def test_lines(lines: DataFrame) -> DataFrame:
+def scoring_lines(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("visit_number") % 10 == 0)
 
 
