@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.operators.labels import class_index, per_class
+from basketry.operators.labels import class_at
 from basketry.operators.visits import nonempty_visits
 from basketry.sources.tables import STAR_CONFIG, star_scan_lines
 
@@ -78,14 +78,19 @@ def over_lines(name: str, sql: str | None = None):
 
 
 def fixed_probabilities(lines: DataFrame, models: int = 3) -> DataFrame:
-    """A probability table computed from the visit numbers, in place of trained models."""
-    rows = per_class(nonempty_visits(lines), CLASSES).withColumn(
-        "model_index", F.explode(F.array(*[F.lit(i) for i in range(models)]))
+    """A probability table computed from the visit numbers, in place of trained models.
+
+    The probabilities of a visit come from one array per visit and model, so nothing is shuffled for their sum.
+    """
+    every_model = F.explode(F.array(*[F.lit(i) for i in range(models)]))
+    rows = nonempty_visits(lines).withColumn("model_index", every_model)
+    start = F.col("visit_number") * 31 + F.col("model_index") * 7
+    q = F.array(*[(1 + (start + i * 17) % 97).cast("double") for i in range(len(CLASSES))])
+    rows = rows.withColumn("q", q).withColumn("total", F.aggregate("q", F.lit(0.0), lambda acc, x: acc + x))
+    entries = F.posexplode("q").alias("idx", "one")
+    return rows.select("visit_number", "model_index", "total", entries).select(
+        "visit_number", class_at(F.col("idx"), CLASSES).alias("trip_type"), "model_index", (F.col("one") / F.col("total")).alias("p")
     )
-    idx = class_index("trip_type", CLASSES)
-    q = (1 + (F.col("visit_number") * 31 + idx * 17 + F.col("model_index") * 7) % 97).cast("double")
-    total = F.sum("q").over(Window.partitionBy("visit_number", "model_index"))
-    return rows.withColumn("q", q).select("visit_number", "trip_type", "model_index", (F.col("q") / total).alias("p"))
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:

@@ -9,12 +9,12 @@ from basketry.session import materialize
 
 
 def with_position(df: DataFrame, *order: Column, name: str = "position", start: int = 0) -> DataFrame:
-    """Number the rows in sort order.
+    """Number the rows in sort order; ties are put in order by the other columns, so that none is too large to split.
 
     The range-sorted rows are written once with their place inside the sort partition; the partition sizes
     (one row per sort partition) then give each partition its first number.
     """
-    placed = materialize(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()), "sorted")
+    placed = materialize(df.orderBy(*order, *df.columns).withColumn("_place", F.monotonically_increasing_id()), "sorted")
     part = F.shiftright("_place", 33).alias("_part")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -14,8 +14,10 @@ from basketry.models.blending import Blend, fit_blend
 from basketry.models.classifiers import Params, bagged_models
 from basketry.models.persistence import save_model
 from basketry.operators import profile, ranking, sets
+from basketry.operators.distances import line_distances
 from basketry.operators.metrics import ensemble_mean
-from basketry.plans.features import FeatureModel
+from basketry.operators.stats import chi2_scores, least_important
+from basketry.plans.features import FeatureModel, triples
 from basketry.plans.scoring import final_predictions_of_models, predict
 from basketry.session import materialize
 from basketry.sources import files
@@ -47,13 +49,42 @@ def write_profiles(train: DataFrame, test: DataFrame, root: str) -> None:
     files.write_lines(sets.not_in(train, test, fineline), f"{root}/finelines_not_in_test")
 
 
+@dataclass(frozen=True)
+class Reports:
+    """Which extra reports a training run makes."""
+
+    chi2: bool = False
+    distances: bool = False
+    importance: bool = False
+    cross_validation: bool = False
+    search: bool = False
+    curve: list[int] = field(default_factory=list)
+
+
 @dataclass
 class Trained:
     features: FeatureModel
     models: list
     blend: Blend | None = None
-    losses: DataFrame | None = None
-    least_important: list = field(default_factory=list)
+    reports: dict = field(default_factory=dict)
+
+
+def nonnegative_triples(matrix: DataFrame, features: FeatureModel) -> DataFrame:
+    """Entries that can be scored against the class: shares and line counts, not net scans."""
+    scored = features.names().filter(
+        F.col("feature").rlike("^(dept_share|dept_lines|upc_lines)=") | F.col("feature").isin(features.groups)
+    )
+    return triples(matrix).join(F.broadcast(scored), "feature_idx").select("visit_number", "feature", "value")
+
+
+def feature_names(trained: Trained) -> DataFrame:
+    """Names of all positions of the final model's vectors, with the blended classes at the end."""
+    names = trained.features.names()
+    if not trained.blend:
+        return names
+    classes = trained.blend.models[0].classes
+    extra = [(trained.features.size + i, f"blend={c}") for i, c in enumerate(classes)]
+    return names.unionByName(names.sparkSession.createDataFrame(extra, "feature_idx int, feature string"))
 
 
 def begin_train(
@@ -66,22 +97,40 @@ def begin_train(
     blend_base: dict[str, Params] | None = None,
     with_blend: bool = True,
     save_to: str | None = None,
+    reports: Reports | None = None,
 ) -> Trained:
     """Train ``n_models`` models of one kind; with a holdout their loss on it is reported."""
+    params, reports = params or Params(), reports or Reports()
+    spark = train.sparkSession
     features, matrix = prepare_train(train, config)
+    done = {}
+    if reports.chi2:
+        done["chi2"] = chi2_scores(nonnegative_triples(matrix, features), matrix.select("visit_number", "trip_type"))
+    if reports.distances:
+        done["distances"] = line_distances(train)
     fitted, held = evaluation.holdout_split(matrix, holdout_share) if holdout_share else (matrix, None)
     blend = None
     if with_blend:
         blend, fitted = fit_blend(fitted, blend_base)
         held = blend.transform(held) if held is not None else None
+    if reports.cross_validation:
+        done["cross_validation"] = evaluation.cross_validated_loss(fitted, params)
+    if reports.search:
+        done["search"] = evaluation.parameter_search(kind, fitted, params)
+    if reports.curve and held is not None:
+        done["curve"] = evaluation.learning_curve(kind, fitted, held, reports.curve, params)
     models = bagged_models(kind, fitted, n_models, params)
-    result = Trained(features, models, blend)
+    trained = Trained(features, models, blend, done)
     if save_to:
         for i, model in enumerate(models):
-            save_model(train.sparkSession, model, f"{save_to}/{i}")
+            save_model(spark, model, f"{save_to}/{i}")
+    if reports.importance and kind != "KNN":
+        tables = [evaluation.feature_importance(m, feature_names(trained)) for m in models]
+        done["importance"] = tables
+        done["least_important"] = [least_important(t) for t in tables]
     if held is not None:
-        result.losses = evaluation.model_losses(train.sparkSession, {f"{kind}-{i}": m for i, m in enumerate(models)}, held)
-    return result
+        done["losses"] = evaluation.model_losses(spark, {f"{kind}-{i}": m for i, m in enumerate(models)}, held)
+    return trained
 
 
 def begin_test(trained: Trained, test: DataFrame, root: str) -> None:
