@@ -88,3 +88,21 @@ def test_frequent_values_leave_out_the_excluded_department(hand):
     finelines = {r[0] for r in vocabulary.frequent(hand, "fineline_number", 0, "TOYS").collect()}
     assert finelines == {20, 30, 40, 50}
     assert {r[0] for r in vocabulary.frequent(hand, "fineline_number", 1, None).collect()} == {10, 40, 50}
+
+
+def test_a_visit_with_a_third_of_all_lines(small_lines):
+    """Two ways to the same scalars, with one visit and one product that each hold a third of the lines."""
+    from basketry.operators.visits import visit_aggregates
+
+    part = F.pmod(F.xxhash64("visit_number", "upc", "fineline_number"), F.lit(3))
+    hot = small_lines.select(
+        F.when(part == 0, -1).otherwise(F.col("visit_number")).alias("visit_number"),
+        F.when(part == 0, 1).otherwise(F.col("trip_type")).alias("trip_type"),
+        F.when(part == 0, "Friday").otherwise(F.col("weekday")).alias("weekday"),
+        F.when(part == 1, 77).otherwise(F.col("upc")).alias("upc"),
+        "scan_count", "department_description", "fineline_number",
+    )
+    scalars = visit_aggregates(hot)
+    matrix = FeatureModel.fit(hot, STAR_CONFIG).transform(hot)
+    assert same(matrix.select(scalars.columns), scalars)
+    assert scalars.filter("visit_number = -1").count() == 1
