@@ -7,6 +7,7 @@ probabilities within 0..1 that sum to one. The number of trees and rounds is sma
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -16,7 +17,7 @@ from basketry.catalog.base import CONFIG, over_lines, register, rounded
 from basketry.catalog.encoding import VOCAB_SQL
 from basketry.models import evaluation
 from basketry.models.blending import fit_blend
-from basketry.models.classifiers import Params, bagged_models, fit_boosted, train_model
+from basketry.models.classifiers import KINDS, Params, bagged_models, fit_boosted, train_model
 from basketry.models.persistence import load_model, save_model
 from basketry.operators import clean, encode, visits
 from basketry.operators.joins import join_blocks
@@ -241,3 +242,24 @@ def train_and_score(spark, directory):
         F.round(F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x), 4).alias("p_sum"),
         F.forall(p, lambda x: x.between(0, 1)).cast("int").alias("p_in_range"),
     )
+
+
+@over_lines(
+    "train_model",
+    """select k.model, count(*) as n_rows, cast(0 as bigint) as n_invalid
+    from (values ('RF'), ('ET'), ('GB'), ('AB'), ('KNN'), ('xGB')) k(model)
+    cross join (select distinct visit_number from test where department_description is not null) v
+    cross join (select distinct trip_type from train where department_description is not null) c group by 1""",
+)
+def train_models(lines):
+    """Every kind by its name: rows predicted and how many are no probability."""
+    _, train, test = matrices(lines)
+    smallest = Params(n_est=1, max_depth=2, parallelism=8)
+    scored = [
+        predict(train_model(kind, train, replace(smallest, n_est=5) if kind == "KNN" else smallest), test)
+        .withColumn("model", F.lit(kind))
+        for kind in KINDS
+    ]
+    invalid = F.count_if(~F.coalesce(F.col("p").between(0, 1), F.lit(False)))
+    counted = [s.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"), invalid.alias("n_invalid")) for s in scored]
+    return reduce(DataFrame.unionByName, counted)

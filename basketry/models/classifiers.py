@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators.labels import class_index, class_values
 from basketry.operators.neighbors import nearest_neighbours, neighbour_votes
-from basketry.session import materialize
+from basketry.session import checkpointed
 
 MAX_TREE_DEPTH = 30  # the deepest tree Spark ML grows; stands in for "no limit"
 
@@ -202,7 +202,7 @@ class SammeModel:
 
 
 def fit_samme(train: DataFrame, params: Params) -> SammeModel:
-    """Multiclass AdaBoost. The weights of a round are written out, so no round carries the plans before it."""
+    """Multiclass AdaBoost. Each round is checkpointed, so none carries the plans before it."""
     params = _defaults(params, learning_rate=0.1, max_depth=4)
     classes = class_values(train)
     model = SammeModel(classes)
@@ -213,7 +213,7 @@ def fit_samme(train: DataFrame, params: Params) -> SammeModel:
     for _ in range(params.n_est):
         fitted = tree.fit(weighted)
         missed = (F.col("prediction") != F.col("class_idx")).cast("double")
-        scored = fitted.transform(weighted).select(*kept, "w", missed.alias("missed"))
+        scored = checkpointed(fitted.transform(weighted).select(*kept, "w", missed.alias("missed")))
         weight, lost = scored.agg(F.sum("w"), F.sum(F.col("w") * F.col("missed"))).first()
         error = lost / weight
         if error >= 1 - 1 / len(classes):  # no better than chance: the round is not used
@@ -224,7 +224,7 @@ def fit_samme(train: DataFrame, params: Params) -> SammeModel:
         if lost == 0:
             break
         grown = F.col("w") * F.exp(F.lit(model.alphas[-1]) * F.col("missed"))
-        weighted = materialize(scored.select(*kept, (grown * F.lit(n_rows / weight)).alias("w")), "weights")
+        weighted = scored.select(*kept, (grown * F.lit(n_rows / weight)).alias("w"))
     if not model.trees:
         model.trees.append(fitted)
         model.alphas.append(1.0)
