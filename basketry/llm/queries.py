@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import quality_rules, sql
+from basketry.llm import packing, pii, quality_rules, sql, warc
 from basketry.llm.tables import read_table
 
 
@@ -18,5 +18,18 @@ def op1_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLES = {"op1_quality_rules": sql.QUALITY_RULES}
+def op3_pii(spark: SparkSession, directory: str) -> DataFrame:
+    return pii.find(read_table(spark, directory, "documents"))
+
+
+def op8_warc(spark: SparkSession, directory: str) -> DataFrame:
+    records = warc.round_trip(read_table(spark, directory, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.pack(read_table(spark, directory, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_pii, op8_warc, op10_best_fit_packing)}
+ORACLES = {"op1_quality_rules": sql.QUALITY_RULES, "op8_warc": sql.WARC}

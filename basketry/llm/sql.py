@@ -29,3 +29,12 @@ f as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 as base_failed, failed & 63 = 0 as kept, failed
 from f
 """
+
+WARC = """
+with p as (
+  select cast(page_id as bigint) as page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+g as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by payload_digest),
+r as (select p.*, g.first is not null and p.page_id is distinct from g.first as again, g.first from p left join g on g.payload_digest = p.payload_digest)
+select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then first end as refers_to
+from r
+"""
