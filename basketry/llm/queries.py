@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import packing, pii, quality_rules, sql, warc
+from basketry.llm import decontamination, line_dedup, near_duplicates, packing, pii, quality_rules, sentence_spans, sql, toxicity, warc
 from basketry.llm.tables import read_table
 
 
@@ -22,14 +22,43 @@ def op3_pii(spark: SparkSession, directory: str) -> DataFrame:
     return pii.find(read_table(spark, directory, "documents"))
 
 
+def op4_minhash(spark: SparkSession, directory: str) -> DataFrame:
+    return near_duplicates.classes(read_table(spark, directory, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, directory: str) -> DataFrame:
+    found = decontamination.matches(read_table(spark, directory, "documents"), read_table(spark, directory, "benchmark"))
+    return found.select("doc_id", "item_id", "score")
+
+
+def op6_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    return toxicity.scores(read_table(spark, directory, "documents"), read_table(spark, directory, "labels"))
+
+
+def op7_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    cleaned = line_dedup.clean(read_table(spark, directory, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_warc(spark: SparkSession, directory: str) -> DataFrame:
     records = warc.round_trip(read_table(spark, directory, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_sentence_spans(spark: SparkSession, directory: str) -> DataFrame:
+    cleaned = sentence_spans.clean(read_table(spark, directory, "documents"))
+    return cleaned.select("doc_id", "n_sentences", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack(read_table(spark, directory, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_pii, op8_warc, op10_best_fit_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op3_pii, op4_minhash, op5_decontamination, op6_toxicity, op7_line_dedup, op8_warc, op9_sentence_spans,
+        op10_best_fit_packing,
+    )
+}
 ORACLES = {"op1_quality_rules": sql.QUALITY_RULES, "op8_warc": sql.WARC}
