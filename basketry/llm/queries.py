@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import decontamination, line_dedup, near_duplicates, packing, pii, quality_rules, sentence_spans, sql, toxicity, warc
+from basketry.llm import decontamination, line_dedup, near_duplicates, packing, pii, quality_rules, repeated_bytes, sentence_spans, sql, toxicity, warc
 from basketry.llm.tables import read_table
 
 
@@ -18,6 +18,10 @@ def op1_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op2_repeated_bytes(spark: SparkSession, directory: str) -> DataFrame:
+    return repeated_bytes.clean(read_table(spark, directory, "documents")).drop("kept")
+
+
 def op3_pii(spark: SparkSession, directory: str) -> DataFrame:
     return pii.find(read_table(spark, directory, "documents"))
 
@@ -57,7 +61,7 @@ def op10_best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op3_pii, op4_minhash, op5_decontamination, op6_toxicity, op7_line_dedup, op8_warc, op9_sentence_spans,
+        op1_quality_rules, op2_repeated_bytes, op3_pii, op4_minhash, op5_decontamination, op6_toxicity, op7_line_dedup, op8_warc, op9_sentence_spans,
         op10_best_fit_packing,
     )
 }

@@ -1,10 +1,10 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic rows are positives; all other rows that may be learnt from are unlabelled text, whatever their label
-says. A linear classifier over the presence of hashed words is trained in numpy with the non-negative risk
+Confirmed toxic rows are positives; all rows that may be learnt from are unlabelled text, whatever their label says. A linear classifier over the presence of hashed words and word beginnings is trained in numpy with the non-negative risk
 estimator: ``prior * R+(1) + max(0, R_u(0) - prior * R+(0))`` with the logistic loss; in a step where the second part is
 negative, only that part is climbed, which is the estimator's correction. The prior is the share of toxic rows among the
-labelled rows of the learning part. AdaGrad with a proximal L1 step keeps the weights of harmless words at zero.
+labelled rows of the learning part. Only buckets of at least ``LEAST_ROWS`` positives get a
+weight; AdaGrad with a proximal L1 step keeps the weights of harmless words at zero.
 
 Fitting uses at most ``MAX_POSITIVE`` positives and ``MAX_UNLABELLED`` unlabelled rows (documented bounds, chosen by
 hash); scoring covers every row. Null and empty texts have no words and get the score of the bias alone. Rows are scored one
@@ -26,13 +26,15 @@ from basketry.llm.decontamination import word_numbers
 from basketry.llm.tables import id_and_text
 
 BUCKETS = 1 << 18
+STEMS = (3, 4, 5)
 MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 12_000
 THRESHOLD = 0.3
-EPOCHS = 12
+STEPS = 800
 BATCH = 256
-RATE = 0.3
-L1 = 2e-4
+RATE = 0.1
+L1 = 5e-4
+LEAST_ROWS = 5
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -41,8 +43,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def features(text: str) -> np.ndarray:
-    """Buckets of the distinct lower-case words of a text."""
-    words = list(set(WORD.findall(text.lower())))
+    """Buckets of the distinct lower-case words of a text and of their beginnings of 3 to 5 letters."""
+    words = set(WORD.findall(text.lower()))
+    words = [*words, *{"<" + w[:k] for w in words for k in STEMS if len(w) > k}]
     return np.unique(word_numbers(words) % np.uint64(BUCKETS)).astype(np.int32) if words else np.zeros(0, np.int32)
 
 
@@ -69,34 +72,34 @@ class Model:
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 7) -> Model:
     """Mini-batches of both kinds of rows under the non-negative risk."""
     random, weights, bias = np.random.default_rng(seed), np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))
-    seen, seen_bias = np.full(BUCKETS, 1e-2), 1e-2
+    known = np.bincount(np.concatenate(positive), minlength=BUCKETS) >= LEAST_ROWS
+    positive, unlabelled = ([r[known[r]] for r in rows] for rows in (positive, unlabelled))
+    seen, seen_bias = np.full(BUCKETS, 1e-4), 1e-4
 
     def stacked(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
 
-    for _ in range(EPOCHS):
-        order = random.permutation(len(unlabelled))
-        for first in range(0, len(order), BATCH):
-            u = [unlabelled[i] for i in order[first : first + BATCH]]
-            p = [positive[i] for i in random.integers(0, len(positive), BATCH)]
-            (pw, po), (uw, uo) = stacked(p), stacked(u)
-            ps = _sigmoid(np.bincount(po, weights[pw], len(p)) + bias)
-            us = _sigmoid(np.bincount(uo, weights[uw], len(u)) + bias)
-            negative = -np.log1p(-us + 1e-12).mean() + prior * np.log1p(-ps + 1e-12).mean()
-            # slopes of the losses in the logits: log(1 + e^-z) gives s - 1, log(1 + e^z) gives s
-            up, uu = -prior * ps / len(p), us / len(u)
-            if negative >= 0:
-                up = up + prior * (ps - 1) / len(p)
-            else:
-                up, uu = -up, -uu
-            slope = np.bincount(pw, up[po], BUCKETS) + np.bincount(uw, uu[uo], BUCKETS)
-            at = np.unique(np.concatenate([pw, uw]))
-            seen[at] += slope[at] ** 2
-            rate = RATE / np.sqrt(seen[at])
-            stepped = weights[at] - rate * slope[at]
-            weights[at] = np.sign(stepped) * np.maximum(np.abs(stepped) - rate * L1, 0)
-            seen_bias += (up.sum() + uu.sum()) ** 2
-            bias -= RATE / np.sqrt(seen_bias) * (up.sum() + uu.sum())
+    for _ in range(STEPS):
+        u = [unlabelled[i] for i in random.integers(0, len(unlabelled), BATCH)]
+        p = [positive[i] for i in random.integers(0, len(positive), BATCH)]
+        (pw, po), (uw, uo) = stacked(p), stacked(u)
+        ps = _sigmoid(np.bincount(po, weights[pw], len(p)) + bias)
+        us = _sigmoid(np.bincount(uo, weights[uw], len(u)) + bias)
+        negative = -np.log1p(-us + 1e-12).mean() + prior * np.log1p(-ps + 1e-12).mean()
+        # slopes of the losses in the logits: log(1 + e^-z) gives s - 1, log(1 + e^z) gives s
+        up, uu = -prior * ps / len(p), us / len(u)
+        if negative >= 0:
+            up = up + prior * (ps - 1) / len(p)
+        else:
+            up, uu = -up, -uu
+        slope = np.bincount(pw, up[po], BUCKETS) + np.bincount(uw, uu[uo], BUCKETS)
+        at = np.unique(np.concatenate([pw, uw]))
+        seen[at] += slope[at] ** 2
+        rate = RATE / np.sqrt(seen[at])
+        stepped = weights[at] - rate * slope[at]
+        weights[at] = np.sign(stepped) * np.maximum(np.abs(stepped) - rate * L1, 0)
+        seen_bias += (up.sum() + uu.sum()) ** 2
+        bias -= RATE / np.sqrt(seen_bias) * (up.sum() + uu.sum())
     return Model(weights, bias)
 
 
@@ -110,7 +113,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
         return None
     rank = F.xxhash64(F.lit("pu"), "doc_id")
     chosen = marks.where("toxic").orderBy(rank, "doc_id").limit(MAX_POSITIVE).select("doc_id", F.lit(True).alias("positive"))
-    others = texts.select("doc_id").join(marks.where("toxic"), "doc_id", "left_anti").orderBy(rank, "doc_id").limit(MAX_UNLABELLED)
+    others = texts.select("doc_id").orderBy(rank, "doc_id").limit(MAX_UNLABELLED)
     wanted = chosen.union(others.select("doc_id", F.lit(False)))
     rows = _hashed(texts.join(wanted, "doc_id").orderBy("doc_id").select("positive", "text")).toPandas()
     sides = [[np.asarray(w, np.int64) for w, p in zip(rows["words"], rows["positive"], strict=True) if p == side] for side in (True, False)]
