@@ -30,6 +30,14 @@ def size_in_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(width)).first()[0] or 0
 
 
+def _common_types(big: DataFrame, lookup: DataFrame, on: list[str]) -> list[T.DataType]:
+    """The types in which Spark compares the keys of both sides."""
+    return [
+        big.sparkSession.range(1).select(F.coalesce(F.lit(None).cast(big.schema[c].dataType), F.lit(None).cast(lookup.schema[c].dataType)).alias("c")).schema["c"].dataType
+        for c in on
+    ]
+
+
 def lookup_join(
     big: DataFrame,
     lookup: DataFrame,
@@ -54,7 +62,8 @@ def lookup_join(
         lookup = materialize(lookup, "lookup")
     if (lookup.count() * row_bytes if row_bytes else size_in_bytes(lookup)) <= max_broadcast_bytes:
         return big.join(F.broadcast(lookup), on, how)
-    key = F.xxhash64(*on)
+    # equal keys of different types hash alike only in one common type
+    key = F.xxhash64(*[F.col(c).cast(t) for c, t in zip(on, _common_types(big, lookup, on), strict=True)])
     heavy = big.select(key.alias("key")).freqItems(["key"], heavy_share).first()[0]
     is_heavy = F.coalesce(key.isin(list(heavy)), F.lit(False)) if heavy else F.lit(False)
     spread = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")

@@ -112,3 +112,13 @@ def test_a_missing_member_counts_once(spark):
     counts = {r.k: r.n_members for r in profile.distinct_count_per(df, "k", "m").collect()}
     packed = {r.k: (r.n_members, r.members, r.has_missing) for r in profile.packed_members(df, "k", "m").collect()}
     assert counts == {"a": 2, "b": 1} and packed == {"a": (2, "1", 1), "b": (1, "2", 0)}
+
+
+@pytest.mark.parametrize(("left", "right"), [("int", "bigint"), ("bigint", "int"), ("string", "int"), ("int", "string"), ("smallint", "double"), ("int", "decimal(12,2)")])
+def test_salted_join_keeps_heavy_keys_of_other_types(spark, left, right):
+    big = spark.range(3000).selectExpr(f"cast(if(id % 3 = 0, 7, id % 50) as {left}) as k", "id")
+    lookup = spark.range(40).selectExpr(f"cast(id as {right}) as k", "id * 10 as v")
+    plain = big.join(lookup, "k").select("id", "v")
+    salted = lookup_join(big, lookup, ["k"], max_broadcast_bytes=0, heavy_share=0.01, salts=16).select("id", "v")
+    assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect()))
+    assert salted.count() > 1000
