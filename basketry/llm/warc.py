@@ -175,7 +175,7 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) ->
 
         def finish(records: list[bytes]) -> pa.RecordBatch:
             name, data = f"{uuid.uuid4().hex}.warc.zst", compress(records)
-            with store.open_output_stream(f"{root}/{name}") as out:
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:
                 out.write(data)
             return pa.RecordBatch.from_pydict({"archive": [name], "n_records": [len(records)], "n_bytes": [len(data)]})
 
