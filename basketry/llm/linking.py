@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from basketry.llm.tables import stored
 
-#: A bucket of at most this many nodes may write its pairs; a larger one goes on center by center.
+#: A bucket of at most this many nodes may write its pairs; a larger one goes on by centers.
 SMALL_BUCKET = 16
+#: In each further round a larger bucket takes this many times as many centers.
+CENTERS_GROW = 4
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -45,31 +47,37 @@ def components(edges: DataFrame) -> DataFrame:
 def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) of all nodes linked by a verified pair that shares a key.
 
-    ``members`` is a written table of distinct (key bigint, node binary); ``verify`` keeps the pairs (a, b) that are
-    similar. First all nodes of a bucket meet its smallest node. What then still lies in several components of one
-    bucket meets a further center each round, or, in small buckets, all nodes of the other components at once. So no
-    pair between different components is left undecided, and a bucket of n similar nodes costs n pairs.
+    ``members`` is a written table of (key bigint, node binary), rows may repeat; ``verify`` keeps the pairs (a, b) that
+    are similar. Keys of one row alone are dropped by a count that moves no nodes. First all nodes of a bucket meet its smallest node. What then still lies in several components of one
+    bucket meets further centers, the smallest node of each of 4, 16, 64 ... hash parts of the bucket, or, in small buckets,
+    all nodes of the other components at once. So no pair between different components is left undecided, a bucket of n
+    similar nodes costs n pairs, and the rounds grow with the logarithm of the largest bucket.
     """
-    repeated = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("center")).where("n > 1")
-    buckets = stored(members.join(repeated, "key").select("key", "node", "center"), "buckets")
+    repeated = stored(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated-keys")
+    shared = stored(members.join(repeated, "key", "left_semi").distinct(), "shared-keys")
+    centers = shared.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").drop("last")
+    buckets = stored(shared.join(centers, "key"), "buckets")
     pairs = buckets.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     edges = stored(verify(pairs), "links")
-    used = buckets.where("node <> center")
+    used = buckets.where("node <> center").select("key", "node")
+    n_centers = 1
     while True:
         roots = components(edges)
         named = used.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        open_keys = named.groupBy("key").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("center"), F.count("*").alias("n")
-        )
+        open_keys = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
         left = stored(named.join(open_keys.where("low <> high").drop("low", "high"), "key"), "open-buckets")
         if left.isEmpty():
             return roots
-        heads = left.where("node = center").select("key", F.col("root").alias("center_root"))
-        large = left.where(F.col("n") > SMALL_BUCKET).join(heads, "key").where("root <> center_root")
-        small = left.where(F.col("n") <= SMALL_BUCKET).select("key", "node", "root")
+        n_centers *= CENTERS_GROW
+        part = F.pmod(F.xxhash64("node", F.lit(n_centers)), F.lit(n_centers)).alias("part")
+        large = left.where(F.col("n") > SMALL_BUCKET)
+        heads = large.groupBy("key", part).agg(F.min(F.struct("node", "root")).alias("center"))
+        heads = stored(heads.select("key", F.col("center.node").alias("b"), F.col("center.root").alias("other_root")), "centers")
+        small = left.where(F.col("n") <= SMALL_BUCKET)
         other = small.select("key", F.col("node").alias("b"), F.col("root").alias("other_root"))
-        pairs = large.select(F.col("node").alias("a"), F.col("center").alias("b")).union(
-            small.join(other, "key").where("b < node and root <> other_root").select(F.col("node").alias("a"), "b")
+        ends = [F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")]
+        pairs = large.join(heads, "key").where("root <> other_root").select(*ends).union(
+            small.join(other, "key").where("b < node and root <> other_root").select(*ends)
         )
         edges = edges.union(stored(verify(pairs.distinct()), "links"))
-        used = left.where((F.col("n") > SMALL_BUCKET) & (F.col("node") != F.col("center"))).select("key", "node")
+        used = large.join(heads.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti").select("key", "node")

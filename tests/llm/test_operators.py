@@ -134,3 +134,14 @@ def test_toxicity(spark):
     assert sum(found[i].predicted == (i % 5 == 0) for i in held) >= 0.95 * len(held)
     assert found[400].score == found[401].score
     assert all(r.score == 0 for r in toxicity.scores(table(spark, docs), labels.limit(0)).collect())
+
+
+def test_linked_large_bucket_of_many_groups(spark):
+    from basketry.llm.linking import linked
+    from basketry.llm.tables import stored
+
+    rows = [(1, bytes([i]) * 16) for i in range(60)] + [(2, bytes([i]) * 16) for i in range(3)]
+    members = stored(spark.createDataFrame(rows + rows[:5], "key long, node binary"), "test-members")
+    same = lambda pairs: pairs.where("(cast(conv(hex(substring(a, 1, 1)), 16, 10) as int) - cast(conv(hex(substring(b, 1, 1)), 16, 10) as int)) % 20 = 0")
+    found = {bytes(r.node)[0]: bytes(r.root)[0] for r in linked(members, same).collect()}
+    assert found == {i: i % 20 for i in range(20, 60)}
