@@ -114,7 +114,7 @@ def begin_train(
         blend, fitted = fit_blend(fitted, blend_base)
         held = blend.transform(held) if held is not None else None
     if reports.cross_validation:
-        done["cross_validation"] = evaluation.cross_validated_loss(fitted, params)
+        done["cross_validation"] = evaluation.cross_validated_loss(fitted, params, kind=kind)
     if reports.search:
         done["search"] = evaluation.parameter_search(kind, fitted, params)
     if reports.curve and held is not None:
