@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
 
-1. Every run of ``GRAM`` words of a test item is a seed. One pass over all documents counts in how many rows each
-   occurs; the rare ones of an item are those of at most ``SPREAD`` times its median count, so an item that is copied
-   thousands of times keeps its seeds, and only what is common against the item's other runs goes.
-2. A second pass joins documents to items by seeds: sorted seed hashes are searched in each task. Around each hit, a
-   window of three item lengths to either side is aligned with the item (match 2, mismatch and gap -1): a local
-   alignment through the hit cannot reach further. The score is the share of the item's best possible score.
+1. Every run of ``GRAM`` words of a test item is a seed, however many documents hold it: no seed is left out for being
+   common. One pass joins documents to items by seeds: sorted seed hashes are searched in each task.
+2. Around each hit, a window of three item lengths to either side is a candidate: a local alignment through the hit
+   cannot reach further. Windows that cannot reach the least score, by a bound on the words they share with the item,
+   are dropped; the bound loses nothing. The others are aligned with the item (match 2, mismatch and gap -1), equal
+   windows of a task once. The score is the share of the item's best possible score.
 
 Items are handled in blocks of at most ``BLOCK_SEEDS`` seeds, the bound of what is sent to the tasks; a larger benchmark
 takes more passes and leaves nothing out. Documents are never shuffled.
@@ -17,6 +17,7 @@ Further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -29,9 +30,10 @@ from basketry.llm import vectors
 from basketry.llm.tables import id_and_text
 
 GRAM = 4
-SPREAD = 10
 LEAST = 0.5
 BLOCK_SEEDS = 1 << 20
+#: A task keeps the scores of at most this many windows for equal ones.
+KNOWN_WINDOWS = 1 << 16
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORD = re.compile(r"[^\W_]+")
 PAIRS = "doc_id long, item_id long, score double, first_word long, last_word long"
@@ -91,57 +93,48 @@ def _blocks(items: Iterator, limit: int) -> Iterator[list[tuple[int, np.ndarray]
         yield block
 
 
-def seed_counts(texts: DataFrame, seeds: np.ndarray) -> np.ndarray:
-    """In how many rows each seed (sorted, distinct) occurs."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(seeds), np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                grams = np.unique(gram_hashes(word_numbers(words_of(text.as_py()))))
-                at = np.minimum(np.searchsorted(seeds, grams), len(seeds) - 1)
-                total[at[seeds[at] == grams]] += 1
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int64)), pa.array(total[hit])], ["seed", "n"])
-
-    rows = texts.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(seeds), np.int64)
-    out[rows["seed"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return out
-
-
-def rare_seeds(block: list[tuple[int, np.ndarray]], seeds: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, item (its place in the block) and place in the item of the rare seeds, by hash."""
-    hashes, owners, places = [], [], []
-    for i, (_, numbers) in enumerate(block):
-        grams = gram_hashes(numbers)
-        n = counts[np.searchsorted(seeds, grams)]
-        rare = np.flatnonzero(n <= SPREAD * max(float(np.median(n)), 1.0))
-        hashes.append(grams[rare])
-        owners.append(np.full(len(rare), i))
-        places.append(rare)
-    hashes, owners, places = np.concatenate(hashes), np.concatenate(owners), np.concatenate(places)
+def item_seeds(block: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and item (its place in the block) of all distinct seeds of each item, by hash and item."""
+    hashes = [np.unique(gram_hashes(numbers)) for _, numbers in block]
+    owners = np.repeat(np.arange(len(block)), [len(h) for h in hashes])
+    hashes = np.concatenate(hashes)
     order = np.argsort(hashes, kind="stable")
-    return hashes[order], owners[order], places[order]
+    return hashes[order], owners[order]
 
 
-def candidates(numbers: np.ndarray, hashes: np.ndarray, owners: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def candidates(numbers: np.ndarray, hashes: np.ndarray, owners: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(item, first, last) windows of a document around its seed hits; overlapping windows of an item are one."""
     grams = gram_hashes(numbers)
-    lo, hi = np.searchsorted(hashes, grams, "left"), np.searchsorted(hashes, grams, "right")
-    spans: dict[int, list[list[int]]] = {}
-    for at in np.flatnonzero(hi > lo):
-        for k in range(lo[at], hi[at]):
-            item = int(owners[k])
-            first, last = max(0, int(at) - 3 * int(lengths[item])), int(at) + GRAM + 3 * int(lengths[item])
-            mine = spans.setdefault(item, [])
-            if mine and first <= mine[-1][1]:
-                mine[-1][1] = max(last, mine[-1][1])
-            else:
-                mine.append([first, last])
-    for item, found in spans.items():
-        for first, last in found:
-            yield item, first, min(last, len(numbers))
+    lo = np.searchsorted(hashes, grams, "left")
+    n = np.searchsorted(hashes, grams, "right") - lo
+    if not n.any():
+        return
+    at = np.repeat(np.arange(len(grams)), n)
+    item = owners[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+    order = np.argsort(item, kind="stable")
+    at, item = at[order], item[order]
+    first, last = np.maximum(at - 3 * lengths[item], 0), at + GRAM + 3 * lengths[item]
+    new = np.append(True, (item[1:] != item[:-1]) | (first[1:] > last[:-1]))
+    end = np.append(new[1:], True)
+    yield from zip(item[new].tolist(), first[new].tolist(), np.minimum(last[end], len(numbers)).tolist(), strict=True)
+
+
+def may_reach(words: np.ndarray, counts: np.ndarray, passage: np.ndarray, least: float) -> bool:
+    """Whether a passage can hold an alignment of at least that share; ``words`` and ``counts`` are the item's, by word.
+
+    Of n item words, m matches and g gaps in the passage score at most ``MATCH * m + GAP * g``. So m is at least
+    ``least * n``, a word matches no more often than either side has it, and the passage of the alignment is at most
+    ``n + (1 - least) * MATCH * n`` words long.
+    """
+    n = int(counts.sum())
+    wanted = max(least * n - 1e-9, 1)
+    at = np.minimum(np.searchsorted(words, passage), len(words) - 1)
+    member = words[at] == passage
+    if np.minimum(np.bincount(at[member], minlength=len(words)), counts).sum() < wanted:
+        return False
+    reach = n + int((1 - min(least, 1.0)) * MATCH * n) + 1
+    inside = np.concatenate(([0], np.cumsum(member)))
+    return len(passage) <= reach or int((inside[reach:] - inside[:-reach]).max()) >= wanted
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
@@ -157,19 +150,33 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> Data
 
 
 def _block_matches(texts: DataFrame, block: list[tuple[int, np.ndarray]], least: float) -> DataFrame:
-    seeds = np.unique(np.concatenate([gram_hashes(numbers) for _, numbers in block]))
-    sent = texts.sparkSession.sparkContext.broadcast((block, *rare_seeds(block, seeds, seed_counts(texts, seeds))))
+    sent = texts.sparkSession.sparkContext.broadcast((block, *item_seeds(block)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, hashes, owners, places = sent.value
+        block, hashes, owners = sent.value
         lengths = np.array([len(numbers) for _, numbers in block])
+        bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        known: dict[tuple[int, bytes], tuple[int, int]] = {}
+
+        def scored(item: int, passage: np.ndarray) -> tuple[int, int]:
+            if item not in bags:
+                bags[item] = np.unique(block[item][1], return_counts=True)
+            if not may_reach(*bags[item], passage, least):
+                return 0, 0
+            key = item, hashlib.blake2b(passage.tobytes(), digest_size=16).digest()
+            if key not in known:
+                if len(known) >= KNOWN_WINDOWS:
+                    known.clear()
+                known[key] = align(block[item][1], passage)
+            return known[key]
+
         for batch in batches:
             out = []
             for doc_id, text in zip(*batch.columns, strict=True):
                 numbers = word_numbers(words_of(text.as_py()))
                 best: dict[int, tuple] = {}
-                for item, first, last in candidates(numbers, hashes, owners, places, lengths):
-                    score, end = align(block[item][1], numbers[first:last])
+                for item, first, last in candidates(numbers, hashes, owners, lengths):
+                    score, end = scored(item, numbers[first:last])
                     share = score / (MATCH * int(lengths[item]))
                     if share >= least and share > best.get(item, (0.0,))[0]:
                         start = max(first, first + end - int(lengths[item]))

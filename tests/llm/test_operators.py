@@ -112,6 +112,30 @@ def test_decontamination(spark):
     assert decontamination.matches(table(spark, docs), tests.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [11, 2000])
+def test_decontamination_of_common_edited_copies(spark, copies):
+    words = prose(25, 40).split()
+    copy = " ".join("zz" if i % 5 == 4 else w for i, w in enumerate(words))
+    docs = [(i, f"{prose(1000 + i, 5)} {copy} {prose(5000 + i, 5)}") for i in range(copies)] + [(-1, prose(26, 100))]
+    tests = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    found = decontamination.matches(table(spark, docs), tests).collect()
+    assert sorted(r.doc_id for r in found) == list(range(copies)) and all(r.score >= 0.7 for r in found)
+    assert [r.doc_id for r in decontamination.keep_clean(table(spark, docs), tests).collect()] == [-1]
+
+
+def test_windows_are_dropped_only_below_the_least_score():
+    import numpy as np
+
+    r = random.Random(4)
+    for _ in range(300):
+        item = np.array([r.randint(0, 6) for _ in range(8)], np.uint64)
+        passage = np.array([r.randint(0, 14) for _ in range(r.randint(1, 60))], np.uint64)
+        for least in (0.0, 0.3, 0.5, 0.8, 1.0):
+            score = decontamination.align(item, passage)[0] / (2 * len(item))
+            if score and score >= least:
+                assert decontamination.may_reach(*np.unique(item, return_counts=True), passage, least)
+
+
 def test_alignment_matches_brute_force():
     import numpy as np
 
