@@ -1,9 +1,10 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard, union-find; one line per component stays.
 
-A line is what stands between line feeds, without blanks at its ends. Lines of fewer than ``MIN_CHARS`` characters are
-left alone (headings, single words: no evidence of copying). Of the lines of a component the one at the smallest
-(doc_id, position) stays, all others are removed; null ids come last. Equal lines are one node, so a line that stands in
-a third of all documents is joined once.
+A line is what stands between line feeds, without blanks at its ends. Lines of fewer than ``min_chars`` characters are
+left alone: ``MIN_CHARS`` unless the caller says otherwise. The registered query and the pipeline say ``ALL_LINES``, so
+every line that is not blank takes part there. Lines shorter than ``GRAM`` have no shingles and are alike only if equal.
+Of the lines of a component the one at the smallest (doc_id, position) stays, all others are removed; null ids come last.
+Equal lines are one node, so a line that stands in a third of all documents is joined once.
 
 Null and empty texts have no lines to remove. Rows that repeat an id are told apart by a digest of their text; fully
 equal rows are treated alike, and both keep the line that stays. An empty table gives no rows. ``clean`` keeps all
@@ -29,6 +30,7 @@ GRAM = 5
 SIMILAR = 0.8
 BANDS, ROWS = 16, 6
 MIN_CHARS = 32
+ALL_LINES = 1
 CHUNK_CHARS = 1 << 19
 BLANKS = " \t\n\x0b\f\r"
 U = np.uint64
@@ -91,16 +93,17 @@ def jaccard(left: list[str], right: list[str]) -> np.ndarray:
     return shared / (np.bincount(owner, minlength=n) - shared)
 
 
-def _lines(text: str) -> Iterator[tuple[int, str]]:
-    """Position and stripped content of the lines that take part."""
-    if len(text) >= MIN_CHARS:
+def _lines(text: str, min_chars: int) -> Iterator[tuple[int, str]]:
+    """Position and stripped content of the lines that take part; blank ones never do."""
+    least = max(min_chars, 1)
+    if len(text) >= least:
         for i, line in enumerate(text.split("\n")):
             line = line.strip(BLANKS)
-            if len(line) >= MIN_CHARS:
+            if len(line) >= least:
                 yield i, line
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, source, place, node): every line that takes part; ``source`` is the digest of its text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +111,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             ids, sources, places, nodes = [], [], [], []
             for doc_id, source, text in zip(*batch.columns, strict=True):
                 doc_id, source = doc_id.as_py(), source.as_py()
-                for place, line in _lines(text.as_py()):
+                for place, line in _lines(text.as_py(), min_chars):
                     ids.append(doc_id)
                     sources.append(source)
                     places.append(place)
@@ -120,12 +123,12 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(rows, "doc_id long, source binary, place int, node binary")
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(node, key) of all bands of all lines; equal lines of a batch are one."""
+def signatures(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(node, key) of all bands of all lines that have shingles; equal lines of a batch are one."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            distinct = {digest(line): line for text in batch.column(0) for _, line in _lines(text.as_py())}
+            distinct = {digest(line): line for text in batch.column(0) for _, line in _lines(text.as_py(), max(min_chars, GRAM))}
             nodes, lines = list(distinct), list(distinct.values())
             for lo, hi in _blocks(lines):
                 keys = band_keys(min_hashes(lines[lo:hi], BANDS * ROWS), BANDS, ROWS)
@@ -136,16 +139,16 @@ def signatures(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).select("text").mapInArrow(rows, "node binary, key long")
 
 
-def _contents(docs: DataFrame) -> DataFrame:
+def _contents(docs: DataFrame, min_chars: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            distinct = {digest(line): line for text in batch.column(0) for _, line in _lines(text.as_py())}
+            distinct = {digest(line): line for text in batch.column(0) for _, line in _lines(text.as_py(), max(min_chars, GRAM))}
             yield pa.RecordBatch.from_arrays([pa.array(list(distinct), pa.binary()), pa.array(list(distinct.values()), pa.string())], ["node", "line"])
 
     return id_and_text(docs).select("text").mapInArrow(rows, "node binary, line string")
 
 
-def removed(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def removed(docs: DataFrame, similar: float = SIMILAR, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, source, places): the positions of the lines to remove, one row per document that loses any."""
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -158,15 +161,15 @@ def removed(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
         ends = stored(pairs, "line-pairs")
         wanted = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()
-        needed = stored(_contents(docs).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line")), "lines")
+        needed = stored(_contents(docs, min_chars).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line")), "lines")
         left = needed.select(F.col("node").alias("a"), F.col("line").alias("x"))
         right = needed.select(F.col("node").alias("b"), F.col("line").alias("y"))
         return ends.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(judge, "a binary, b binary")
 
-    members = stored(signatures(docs), "line-keys")
+    members = stored(signatures(docs, min_chars), "line-keys")
     roots = linked(members, verify)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "source", "place")
-    found = occurrences(docs)
+    found = occurrences(docs, min_chars)
     of_node = found.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     named = of_node.join(roots, "node", "left").select("node", "first", "n", F.coalesce("root", "node").alias("root"))
     kept = named.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("all")).where(F.col("all") > 1).drop("all")
@@ -175,12 +178,12 @@ def removed(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return gone.groupBy("doc_id", "source").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
 
-def clean(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def clean(docs: DataFrame, similar: float = SIMILAR, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(row, doc_id, text, n_lines, n_removed)``: the input row as a struct, the text without removed lines."""
     names = [f"`{c}`" for c in docs.columns]
     rows = docs.select(F.struct(*names).alias("row")).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text"))
     rows = rows.withColumn("source", F.unhex(F.md5("text")))
-    gone = removed(docs, similar).withColumnsRenamed({"doc_id": "gone_id", "source": "gone_source"})
+    gone = removed(docs, similar, min_chars).withColumnsRenamed({"doc_id": "gone_id", "source": "gone_source"})
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("source") == F.col("gone_source")), "left")
     lines = F.split("text", "\n")
     # a map of removed positions keeps the test for each line constant

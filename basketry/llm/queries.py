@@ -40,7 +40,7 @@ def op6_toxicity(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
-    cleaned = line_dedup.clean(read_table(spark, directory, "documents"))
+    cleaned = line_dedup.clean(read_table(spark, directory, "documents"), min_chars=line_dedup.ALL_LINES)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

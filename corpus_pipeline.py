@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; ``n_chars`` follows the text. Untouched documents stay as they are."""
-    cleaned = line_dedup.clean(docs.select(*COLUMNS))
+    cleaned = line_dedup.clean(docs.select(*COLUMNS), min_chars=line_dedup.ALL_LINES)
     words_left = F.length(F.translate("text", line_dedup.BLANKS, "")) > 0
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("text")).otherwise(F.col("row.text")).alias("text")

@@ -87,6 +87,19 @@ def test_line_dedup(spark):
     assert line_dedup.clean(table(spark, [])).count() == 0
 
 
+def test_registered_line_dedup_takes_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from basketry.llm import queries
+
+    docs = [(1, "Read more\nok\nfirst words of one"), (2, " Read more \n\nok\nother words of two\n"), (3, "ok"), (4, None), (5, "Read more!")]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    found = {r.doc_id: (r.n_removed, r.kept_sha256) for r in queries.QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()}
+    assert found == {1: (0, sha(docs[0][1])), 2: (2, sha("\nother words of two\n")), 3: (1, sha("")), 4: (0, sha("")), 5: (1, sha(""))}
+    left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "").collect()}
+    assert left == {1: docs[0][1], 2: "\nother words of two\n", 4: None}
+
+
 def test_exact_line_jaccard():
     a, b = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxy!"
     sets = [{s[i : i + 5] for i in range(len(s) - 4)} for s in (a, b)]
