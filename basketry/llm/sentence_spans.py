@@ -1,9 +1,18 @@
 """Substring dedup by sliding sentence spans: sentences covered by a repeat of an earlier run of sentences are removed.
 
-A sentence ends at ``.``, ``!`` or ``?`` before a blank, or at a line feed; blanks around it do not count. Every run of
-``SPAN`` consecutive sentences is a span with a 128-bit digest of its sentences. All spans meet by digest; the one at the
-smallest (doc_id, sentence) is the first, and every sentence that another copy covers is removed. Spans are judged on
-the input, not on what is left. Texts with fewer sentences than a span lose nothing.
+A sentence ends at ``.``, ``!`` or ``?`` before a blank, or at a line feed; blanks around it do not count. There are two
+kinds of spans, each with a 128-bit digest:
+
+- every run of ``SPAN`` consecutive sentences, of whatever length;
+- runs of ``WORDS`` words or somewhat more between cuts. Cuts are the sentence starts and, within a sentence, the word pairs
+  that are the smallest hash of some ``WINDOW`` pairs in a row. From each cut the shortest such run to either side is a
+  span, so a repeat of whole sentences that has ``WORDS`` words together is covered as a whole, be it one sentence or two.
+  A repeat that is set in mid-sentence, or lies in a text without sentence ends, has its cuts at the same words but for
+  ``WINDOW`` at its ends: from ``WORDS + 3 * WINDOW`` words on it is found, and ``WINDOW`` words at each end may stay.
+
+All spans meet by digest; the one at the smallest (doc_id, word) is the first, and every word that another copy covers is
+removed. Spans are judged on the input, not on what is left. ``n_removed`` counts the sentences of which nothing is left,
+``n_spans`` the removed runs of words, also those within a sentence.
 
 Null and empty texts have no sentences. Null ids come last. Rows that repeat an id are told apart by a digest of their
 text; fully equal rows are treated alike and both keep the first spans. An empty table gives no rows. Further columns
@@ -16,13 +25,20 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.llm import vectors
 from basketry.llm.tables import id_and_text, stored
 
 SPAN = 3
+WORDS = 25
+WINDOW = 8
+WORD = re.compile(r"\S+")
+#: A task keeps the digests of at most this many words.
+KNOWN_WORDS = 1 << 18
 BREAK = re.compile(r"(?<=[.!?])[ \t\x0b\f\r]+|[ \t\x0b\f\r]*\n\s*")
 OUT_ROWS = 50_000
 RESULT = "doc_id long, n_sentences long, n_removed long, n_spans long, kept_text string"
@@ -39,35 +55,90 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if text[a:b].strip()]
 
 
-def span_digests(text: str, span: int = SPAN) -> list[bytes]:
-    parts = [hashlib.blake2b(text[a:b].strip().encode("utf-8", "surrogatepass"), digest_size=16).digest() for a, b in sentences(text)]
-    return [hashlib.blake2b(b"".join(parts[i : i + span]), digest_size=16).digest() for i in range(len(parts) - span + 1)]
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def word_cuts(numbers: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The words at which runs begin and end, of a text with those word hashes and sentence starts, and its end."""
+    n = len(numbers)
+    at = np.zeros(0, np.int64)
+    if n >= WINDOW:
+        pairs = vectors.mix(np.append(np.uint64(0), numbers[:-1]) * vectors.STEP + numbers)
+        first = np.zeros(n + 1, np.int64)
+        first[1:] = np.cumsum(np.isin(np.arange(n), begins))
+        inside = np.flatnonzero(first[WINDOW:] == first[:-WINDOW])  # no sentence starts within
+        at = inside + np.lib.stride_tricks.sliding_window_view(pairs, WINDOW)[inside].argmin(axis=1)
+    return np.unique(np.concatenate((begins, at, [n])))
+
+
+def word_runs(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the shortest runs of at least ``WORDS`` words from every cut to either side."""
+    n = int(cuts[-1])
+    starts, ends = cuts[cuts + WORDS <= n], cuts[cuts >= WORDS]
+    starts, ends = (
+        np.concatenate((starts, cuts[np.searchsorted(cuts, ends - WORDS, "right") - 1])),
+        np.concatenate((cuts[np.searchsorted(cuts, starts + WORDS, "left")], ends)),
+    )
+    one = np.unique(starts * (n + 1) + ends)
+    return one // (n + 1), one % (n + 1)
+
+
+def text_spans(text: str, span: int, known: dict[str, bytes]) -> tuple[list[int], list[int], list[bytes]]:
+    """First word, number of words and digest of every span of a text; ``known`` holds digests of words."""
+    at = sentences(text)
+    if not at:
+        return [], [], []
+    found = list(WORD.finditer(text))
+    begins = np.searchsorted([m.start() for m in found], [a for a, _ in at])
+    digests = []
+    for m in found:
+        word = m.group()
+        if word not in known:
+            if len(known) >= KNOWN_WORDS:
+                known.clear()
+            known[word] = _digest(word.encode("utf-8", "surrogatepass"))
+        digests.append(known[word])
+    data = b"".join(digests)
+    starts, ends = (x.tolist() for x in word_runs(word_cuts(np.frombuffer(data, np.uint64)[::2], begins)))
+    spans = [_digest(data[16 * i : 16 * j]) for i, j in zip(starts, ends, strict=True)]
+    parts = [_digest(text[a:b].strip().encode("utf-8", "surrogatepass")) for a, b in at]
+    bounds = [*begins.tolist(), len(found)]
+    for i in range(len(parts) - span + 1):
+        starts.append(bounds[i])
+        ends.append(bounds[i + span])
+        spans.append(_digest(b"sentences" + b"".join(parts[i : i + span])))
+    return starts, [j - i for i, j in zip(starts, ends, strict=True)], spans
 
 
 def spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, source, place, span): every run of sentences."""
+    """(doc_id, source, place, size, span): every span with its first word and number of words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "source", "place", "span"]
+        kinds = {"doc_id": pa.int64(), "source": pa.int64(), "place": pa.int32(), "size": pa.int32(), "span": pa.binary()}
+        known: dict[str, bytes] = {}
+
+        def batch_of(columns: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+
         for batch in batches:
-            ids, sources, places, digests = [], [], [], []
+            columns = [[], [], [], [], []]
             for doc_id, source, text in zip(*batch.columns, strict=True):
-                found = span_digests(text.as_py(), span)
-                ids += [doc_id.as_py()] * len(found)
-                sources += [source.as_py()] * len(found)
-                places += range(len(found))
-                digests += found
-                if len(ids) > OUT_ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sources, pa.int64()), pa.array(places, pa.int32()), pa.array(digests, pa.binary())], names)
-                    ids, sources, places, digests = [], [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sources, pa.int64()), pa.array(places, pa.int32()), pa.array(digests, pa.binary())], names)
+                places, sizes, digests = text_spans(text.as_py(), span, known)
+                n = len(places)
+                for column, values in zip(columns, ([doc_id.as_py()] * n, [source.as_py()] * n, places, sizes, digests), strict=True):
+                    column += values
+                if len(columns[0]) > OUT_ROWS:
+                    yield batch_of(columns)
+                    columns = [[], [], [], [], []]
+            yield batch_of(columns)
 
     source = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("source"), "text")
-    return source.mapInArrow(rows, "doc_id long, source long, place int, span binary")
+    return source.mapInArrow(rows, "doc_id long, source long, place int, size int, span binary")
 
 
 def repeated(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, source, places): where spans start that are copies of an earlier one, a row per document that has any.
+    """(doc_id, source, places): first word and size of the spans that are copies of an earlier one, a row per document that has any.
 
     The first place and the count of each span are partial aggregates, so a span in a third of all documents is one row
     per task; only the digests of repeated spans are joined back.
@@ -79,21 +150,31 @@ def repeated(docs: DataFrame, span: int = SPAN) -> DataFrame:
     again = stored(found.join(often, "span", "left_semi"), "again")
     first = again.groupBy("span").agg(F.min(place).alias("first"))
     later = again.join(first, "span").where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "source").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    return later.groupBy("doc_id", "source").agg(F.array_sort(F.collect_set(F.struct("place", "size"))).alias("places"))
 
 
 def clean(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """One row per document: doc_id, n_sentences, n_removed, n_spans (removed runs), kept_text."""
+    """One row per document: doc_id, n_sentences, n_removed (whole sentences), n_spans (removed runs of words), kept_text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc_id, text, places in zip(*batch.columns, strict=True):
                 text, at = text.as_py(), sentences(text.as_py())
-                gone = {p + k for p in places.as_py() or () for k in range(span)}
-                n_spans = sum(g - 1 not in gone for g in gone)
-                kept = "".join(text[a:b] for i, (a, b) in enumerate(at) if i not in gone) if gone else text
-                out.append((doc_id.as_py(), len(at), len(gone), n_spans, kept))
+                kept, n_removed, n_spans = text, 0, 0
+                if places.as_py():
+                    starts = [m.start() for m in WORD.finditer(text)]
+                    change = np.zeros(len(starts) + 1, np.int64)
+                    for p in places.as_py():
+                        change[p["place"]] += 1
+                        change[p["place"] + p["size"]] -= 1
+                    left = np.cumsum(change)[:-1] == 0
+                    begins = np.searchsorted(starts, [a for a, _ in at])
+                    n_removed = int((np.add.reduceat(left.astype(np.int64), begins) == 0).sum())
+                    n_spans = int((~left & np.append(True, left[:-1])).sum())
+                    bounds = [at[0][0], *starts[1:], len(text)]
+                    kept = "".join(text[bounds[i] : bounds[i + 1]] for i in np.flatnonzero(left).tolist())
+                out.append((doc_id.as_py(), len(at), n_removed, n_spans, kept))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [f.split()[0] for f in RESULT.split(", ")])
 

@@ -115,6 +115,35 @@ def test_sentence_spans(spark):
     assert sentence_spans.clean(table(spark, [])).count() == 0
 
 
+def test_sentence_spans_of_long_passages(spark):
+    one, two, bare = prose(31, 30), f"{prose(32, 14)}. {prose(33, 14)}.", prose(34, 60)
+    docs = [(1, f"{one}. {two} Out."), (2, f"Lead. {one}. Tail."), (3, f"Lead.\n{two}\nTail."), (4, bare)]
+    docs += [(5, f"{prose(35, 9)} {bare} {prose(36, 9)}"), (6, f"{prose(37, 5)} {prose(38, 20)}. {prose(39, 20)}. {prose(40, 20)} {prose(41, 5)}")]
+    docs += [(7, f"{prose(42, 5)} {prose(38, 20)}. {prose(39, 20)}. {prose(40, 20)} {prose(43, 5)}"), (8, f"Lead. {prose(32, 14)}. Tail.")]
+    found = {r.doc_id: r for r in sentence_spans.clean(table(spark, docs)).collect()}
+    assert all(found[i].kept_text == docs[i - 1][1] and found[i].n_spans == 0 for i in (1, 4, 6, 8))
+    assert found[2].kept_text == "Lead. Tail." and (found[2].n_removed, found[2].n_spans) == (1, 1)
+    assert found[3].kept_text == "Lead.\nTail." and (found[3].n_removed, found[3].n_spans) == (2, 1)
+    for i, alone in ((5, 18), (7, 10)):
+        text = found[i].kept_text
+        assert found[i].n_spans == 1 and alone <= len(text.split()) <= alone + 2 * (sentence_spans.WINDOW + 1)
+        assert text.startswith(docs[i - 1][1][:20]) and text.endswith(docs[i - 1][1][-20:])
+
+
+def test_repeated_runs_of_words_are_found_wherever_they_stand():
+    r = random.Random(5)
+    for _ in range(300):
+        passage = [str(r.randint(0, 50)) for _ in range(sentence_spans.WORDS + 3 * sentence_spans.WINDOW + 1)]
+        sides = []
+        for side in "ab":
+            first = r.randint(0, 30)
+            text = " ".join([f"{side}{i}" for i in range(first)] + passage + [f"{side}{i}" for i in range(r.randint(0, 30))])
+            sides.append({(p - first, n, d) for p, n, d in zip(*sentence_spans.text_spans(text, 3, {}), strict=True)})
+        covered = {p + i for p, n, _ in sides[0] & sides[1] for i in range(n)}
+        inner = range(sentence_spans.WINDOW + 1, len(passage) - sentence_spans.WINDOW - 1)
+        assert covered >= set(inner)
+
+
 def test_decontamination(spark):
     item = prose(21, 30)
     docs = [(1, f"{prose(22, 50)} {item.upper()} {prose(23, 50)}"), (2, prose(24, 100)), (3, edited(item, 1, 4)), (4, None), (5, ""), (None, item)]
