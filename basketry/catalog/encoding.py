@@ -206,6 +206,13 @@ def shared_vocab_columns(lines):
     return named(triples(prepare_test(scoring_lines(lines), model)), model)
 
 
+@over_lines("visit_feature_entries", matrix_sql("scans"))
+def visit_feature_entries(lines):
+    """The entries of the vectors of all visits, with the vocabularies of the training visits."""
+    model = FeatureModel.fit(training_lines(lines), CONFIG)
+    return named(vector_triples(model.transform(lines)), model)
+
+
 MATRIX_SQL = f"select visit_number, max(trip_type) as trip_type, {ALL_SCALARS_SQL}, {GROUP_SQL}, count(*) as n_lines from {{}} where {DEPT} is not null group by 1"
 
 

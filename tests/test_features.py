@@ -106,3 +106,15 @@ def test_a_visit_with_a_third_of_all_lines(small_lines):
     matrix = FeatureModel.fit(hot, STAR_CONFIG).transform(hot)
     assert same(matrix.select(scalars.columns), scalars)
     assert scalars.filter("visit_number = -1").count() == 1
+
+
+def test_registered_entries_hold_every_block_of_all_visits(spark):
+    from conftest import SMALL
+
+    from basketry.catalog import QUERIES
+
+    found = QUERIES["visit_feature_entries"](spark, SMALL).collect()
+    blocks = {r.feature.split("=")[0] for r in found if "=" in r.feature}
+    assert {"dept_share", "dept_lines", "dept_scans", "upc_lines"} <= blocks
+    assert blocks == {r.feature.split("=")[0] for r in QUERIES["vocab_persist"](spark, SMALL).collect()}
+    assert {r.visit_number for r in found} == {r.visit_number for r in QUERIES["visit_feature_matrix"](spark, SMALL).collect()}
