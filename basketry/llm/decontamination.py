@@ -37,6 +37,7 @@ KNOWN_WINDOWS = 1 << 16
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORD = re.compile(r"[^\W_]+")
 PAIRS = "doc_id long, item_id long, score double, first_word long, last_word long"
+FOUND = f"{PAIRS}, node binary"
 
 
 def words_of(text: str) -> list[str]:
@@ -139,6 +140,11 @@ def may_reach(words: np.ndarray, counts: np.ndarray, passage: np.ndarray, least:
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """One row per document and test item that it holds: doc_id, item_id, score, and the words of the passage."""
+    return _found(docs, benchmark, least).drop("node")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
+    """The matches, with the MD5 digest of the document's text."""
     texts = id_and_text(docs)
     items = id_and_text(benchmark, "item_id")
     out = None
@@ -146,7 +152,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> Data
         part = _block_matches(texts, block, least)
         out = part if out is None else out.union(part)
     spark: SparkSession = docs.sparkSession
-    return spark.createDataFrame([], PAIRS) if out is None else out
+    return spark.createDataFrame([], FOUND) if out is None else out
 
 
 def _block_matches(texts: DataFrame, block: list[tuple[int, np.ndarray]], least: float) -> DataFrame:
@@ -181,18 +187,17 @@ def _block_matches(texts: DataFrame, block: list[tuple[int, np.ndarray]], least:
                     if share >= least and share > best.get(item, (0.0,))[0]:
                         start = max(first, first + end - int(lengths[item]))
                         best[item] = (share, start, first + end)
-                out += [(doc_id.as_py(), block[item][0], *found) for item, found in best.items()]
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [f.split()[0] for f in PAIRS.split(", ")])
+                node = hashlib.md5(text.as_py().encode(), usedforsecurity=False).digest() if best else b""
+                out += [(doc_id.as_py(), block[item][0], *found, node) for item, found in best.items()]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [f.split()[0] for f in FOUND.split(", ")])
 
-    return texts.mapInArrow(rows, PAIRS)
+    return texts.mapInArrow(rows, FOUND)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no test item. Rows are told apart by their texts, not their ids."""
     names = [f"`{c}`" for c in docs.columns]
-    rows = docs.select(F.struct(*names).alias("row")).withColumn("node", F.unhex(F.md5(F.coalesce("row.text", F.lit("")))))
-    hit = matches(rows.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), benchmark, least)
-    ids = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "node")
-    dirty = ids.join(hit.select("doc_id").distinct(), ids["doc_id"].eqNullSafe(hit["doc_id"]), "left_semi").select("node").distinct()
+    rows = docs.select(F.struct(*names).alias("row")).withColumn("node", F.unhex(F.md5(F.coalesce(F.col("row.text").cast("string"), F.lit("")))))
+    dirty = _found(docs.select("doc_id", "text"), benchmark, least).select("node").distinct()
     return rows.join(dirty, "node", "left_anti").select("row.*")

@@ -178,6 +178,14 @@ def test_windows_are_dropped_only_below_the_least_score():
                 assert decontamination.may_reach(*np.unique(item, return_counts=True), passage, least)
 
 
+def test_clean_rows_with_null_and_repeated_ids_stay(spark):
+    item, clean, other = prose(27, 30), prose(28, 60), prose(29, 60)
+    tests = spark.createDataFrame([(7, item)], "item_id long, text string")
+    docs = [(None, item), (None, clean), (4, f"{other} {item}"), (4, other), (5, other), (6, None)]
+    left = decontamination.keep_clean(table(spark, docs), tests).collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter([(None, clean), (4, other), (5, other), (6, None)])
+
+
 def test_alignment_matches_brute_force():
     import numpy as np
 
