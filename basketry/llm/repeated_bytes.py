@@ -73,7 +73,12 @@ def _marks(docs: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, source, start, window): every window that holds a repeated mark, by the digest of its bytes."""
+    """(doc_id, source, start, window): every window that holds a repeated mark, by the digest of its bytes.
+
+    Marks are those of windows of LENGTH bytes; a shorter window may hold none, so a smaller ``length`` is refused.
+    """
+    if length < LENGTH:
+        raise ValueError(f"length is {length}; repeats shorter than {LENGTH} bytes cannot be found")
     found = stored(_marks(docs), "marks")
     often = stored(found.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "often")
     places = found.join(often, "mark", "left_semi").groupBy("doc_id", "source").agg(F.array_sort(F.collect_set("place")).alias("places"))

@@ -78,6 +78,13 @@ def test_repeated_bytes(spark, rows):
     assert repeated_bytes.clean(table(spark, [])).count() == 0
 
 
+def test_repeated_bytes_of_other_lengths(spark, rows):
+    with pytest.raises(ValueError, match="99"):
+        repeated_bytes.clean(table(spark, rows), 99)
+    found = repeated_bytes.clean(table(spark, rows[:8]), 130).drop("kept").collect()
+    assert Counter(map(tuple, found)) == Counter(brute_bytes(rows[:8], 130))
+
+
 def test_line_dedup(spark):
     x, y = prose(11, 12), prose(12, 12)
     docs = [(1, f"{x}\nshort\n{y}"), (2, f"short\n{x[:-3]}abc"), (3, f"{y}\n{y}\n{prose(13, 12)}"), (4, None), (5, ""), (None, f"  {x} ")]
