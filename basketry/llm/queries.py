@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import decontamination, line_dedup, near_duplicates, packing, pii, quality_rules, repeated_bytes, sentence_spans, sql, toxicity, warc
+from basketry.llm import (
+    centroids, decontamination, line_dedup, near_duplicates, packing, periodic_runs, pii, quality_rules, repeated_bytes, rule_ensemble, sentence_spans, sql,
+    toxicity, warc,
+)
 from basketry.llm.tables import read_table
 
 
@@ -58,11 +61,24 @@ def op10_best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack(read_table(spark, directory, "documents"))
 
 
+def op11_rule_ensemble(spark: SparkSession, directory: str) -> DataFrame:
+    return rule_ensemble.scores(read_table(spark, directory, "documents"), read_table(spark, directory, "labels"))
+
+
+def op12_bisector_tournament(spark: SparkSession, directory: str) -> DataFrame:
+    return centroids.clusters(read_table(spark, directory, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, directory: str) -> DataFrame:
+    found = periodic_runs.find(read_table(spark, directory, "documents"), rewrite=True, texts=False)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_repeated_bytes, op3_pii, op4_minhash, op5_decontamination, op6_toxicity, op7_line_dedup, op8_warc, op9_sentence_spans,
-        op10_best_fit_packing,
+        op10_best_fit_packing, op11_rule_ensemble, op12_bisector_tournament, op13_periodic_runs,
     )
 }
-ORACLES = {"op1_quality_rules": sql.QUALITY_RULES, "op8_warc": sql.WARC}
+ORACLES = {"op1_quality_rules": sql.QUALITY_RULES, "op8_warc": sql.WARC, "op12_bisector_tournament": sql.CENTROIDS}

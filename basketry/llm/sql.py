@@ -38,3 +38,38 @@ r as (select p.*, g.first is not null and p.page_id is distinct from g.first as
 select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then first end as refers_to
 from r
 """
+
+
+def centroids_sql(k: int = 40, rounds: int = 5, dimensions: int = 64, scale: int = 256, seed: str = "2") -> str:
+    """Every distance of every round, written out; ties go to the smaller number."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(
+            f"""
+d{i} as (select l.r, c.c, sum((l.x - c.m) * (l.x - c.m)) as far from parts l join c{i} c on c.d = l.d group by l.r, c.c),
+a{i} as materialized (select r, c, far from (select *, row_number() over (partition by r order by far, c) as place from d{i}) t where place = 1)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""
+s{i} as (select a.c, l.d, sum(l.x) as total, count(*) as n from a{i} a join parts l on l.r = a.r group by a.c, l.d),
+c{i + 1} as materialized (
+  select c, d, (total - ((total % n) + n) % n) // n as m from s{i}
+  union all select c, d, m from c{i} where c not in (select c from s{i}))"""
+            )
+    return f"""
+with kept as materialized (
+  select cast(vec_id as bigint) as vec_id, row_number() over (order by sha256('{seed}:' || vec_id), vec_id) - 1 as r,
+    list_transform(embedding, lambda x: cast(floor({scale} * cast(x as double)) as hugeint)) as v
+  from embeddings where len(embedding) = {dimensions} and len(list_filter(embedding, lambda x: isfinite(x))) = {dimensions}),
+parts as materialized (select r, unnest(v) as x, unnest(range({dimensions})) as d from kept),
+c0 as (select r as c, d, x as m from parts where r < {k}),{",".join(steps)},
+inertias as (select c, sum(far) as cluster_inertia from a{rounds} group by c),
+digests as (select c, sha256(string_agg(cast(m as varchar), ',' order by d)) as centroid_sha256 from c{rounds} group by c)
+select vec_id, cast(a.c as int) as cluster, cast(far as bigint) as distance, cast(cluster_inertia as bigint) as cluster_inertia,
+  cast((select sum(cluster_inertia) from inertias) as bigint) as inertia, centroid_sha256
+from a{rounds} a join kept on kept.r = a.r join inertias i on i.c = a.c join digests g on g.c = a.c
+"""
+
+
+CENTROIDS = centroids_sql()

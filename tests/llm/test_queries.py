@@ -16,7 +16,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     base = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         base.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     wanted = base.execute(queries.ORACLES[name])
     columns = sorted(d[0] for d in wanted.description)
