@@ -17,18 +17,21 @@ from basketry.catalog.base import CONFIG, over_lines, register, rounded
 from basketry.catalog.encoding import VOCAB_SQL
 from basketry.models import evaluation
 from basketry.models.blending import fit_blend
-from basketry.models.classifiers import KINDS, Params, bagged_models, fit_boosted, train_model
+from basketry.models.classifiers import KINDS, Params, bagged_models, fit_boosted, gradient_growth, train_model
 from basketry.models.persistence import load_model, save_model
+from basketry.models.softmax_boosting import left_out
 from basketry.operators import clean, encode, visits
 from basketry.operators.joins import join_blocks
-from basketry.operators.metrics import ensemble_mean
+from basketry.operators.metrics import ensemble_mean, prior_log_loss
+from basketry.plans.features import FeatureModel
 from basketry.plans.scoring import predict
 from basketry.plans.workflow import begin_test, begin_train, ensemble, prepare_test, prepare_train
-from basketry.session import fresh_path
-from basketry.sources.tables import star_scan_lines, scoring_lines, training_lines
+from basketry.session import fresh_path, materialize
+from basketry.sources.tables import planted_labels, scoring_lines, star_scan_lines, training_lines
 
 FOREST = Params(n_est=8, max_depth=5, parallelism=8)
 BOOST = Params(n_est=2, max_depth=3, parallelism=8)
+ROUNDS = Params(n_est=20, max_depth=4, parallelism=8)
 
 PREDICTED_SQL = """select v.visit_number, c.trip_type, 1 as p_in_range, cast(1 as double) as p_sum
 from (select distinct visit_number from test where department_description is not null) v
@@ -56,9 +59,9 @@ def _trained(name: str, kind: str, params: Params) -> None:
 
 _trained("rf_probs", "RF", FOREST)
 _trained("et_probs", "ET", FOREST)
-_trained("gb_probs", "GB", BOOST)
+_trained("gb_probs", "GB", ROUNDS)
 _trained("ab_probs", "AB", replace(FOREST, n_est=4, max_depth=None))
-_trained("xgb_probs", "xGB", BOOST)
+_trained("xgb_probs", "xGB", ROUNDS)
 
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 NEIGHBOURS = 15
@@ -148,10 +151,10 @@ def early_stopping(lines):
 
 @over_lines("oob_improvement", _classes_sql("1 as round_in_range, 1 as score_is_positive"))
 def oob_improvement(lines):
-    """Best round and holdout loss per class, in place of out-of-bag gains that Spark does not report."""
+    """Best round and holdout loss per class of one boosted model per class; the gains out of the bag are in ``oob_gains``."""
     _, train, _ = matrices(lines)
     fitted, held = evaluation.holdout_split(train)
-    model = train_model("GB", fitted, BOOST)
+    model = fit_boosted(fitted, BOOST)
     best = evaluation.boosting_rounds(model, held)
     return best.select(
         "trip_type",
@@ -160,6 +163,80 @@ def oob_improvement(lines):
     )
 
 
+PLANTED_SQL = """g as (
+  select visit_number, cast(substr(department_description, 7) as int) % 5 as grp, count(*) as n
+  from scans where department_description is not null group by 1, 2),
+planted as (
+  select visit_number, grp as label from (
+    select *, row_number() over (partition by visit_number order by n desc, grp) as place from g) t where place = 1),
+shares as (select label, count(*) / sum(count(*)) over () as share from planted where visit_number % 10 <> 0 group by label),
+prior as (
+  select count(*) as n_held, round(-avg(ln(share)), 6) as prior_loss from planted join shares using (label) where visit_number % 10 = 0)"""
+
+
+def planted_matrices(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The full matrix with a label that the features explain: training and held-out visits."""
+    labels = planted_labels(lines).withColumnRenamed("planted_label", "trip_type")
+    matrix = FeatureModel.fit(training_lines(lines), CONFIG).transform(lines.drop("trip_type"))
+    rows = materialize(matrix.select("visit_number", "features").join(labels, "visit_number"), "planted-matrix")
+    return training_lines(rows), scoring_lines(rows)
+
+
+def with_prior(train: DataFrame, held: DataFrame, flags: dict[str, bool]) -> DataFrame:
+    """Held-out visits and the loss of the training class shares on them, next to what a model must reach."""
+    prior = prior_log_loss(train, held).select(F.round("log_loss", 6).alias("prior_loss"))
+    counted = held.agg(F.count("*").alias("n_held")).join(F.broadcast(prior))
+    return counted.select("n_held", "prior_loss", *[F.lit(int(v)).alias(k) for k, v in flags.items()])
+
+
+JOINT = Params(n_est=20, max_depth=3, learning_rate=0.3, gamma=0.5, parallelism=8)
+
+
+@over_lines("joint_boosting", f"select * from (with {PLANTED_SQL} select n_held, prior_loss, 1 as beats_prior, 1 as beats_one_vs_rest from prior) p")
+def joint_boosting(lines):
+    """Joint softmax boosting against the class shares and against one model per class with as many rounds.
+
+    Spark gives the first tree of a boosted model its full weight, so with very few rounds the separate models lead.
+    """
+    train, held = planted_matrices(lines)
+    joint = evaluation.model_loss(train_model("xGB", train, JOINT), held).first()[0]
+    apart = evaluation.model_loss(fit_boosted(train, replace(JOINT, subsample=0.75, feature_share=0.5)), held).first()[0]
+    prior = prior_log_loss(train, held).first()[0]
+    return with_prior(train, held, {"beats_prior": joint < prior / 2, "beats_one_vs_rest": joint < apart})
+
+
+@over_lines("joint_early_stopping", "select 1 as stopped, 1 as rolled_back, 1 as best_below_last, 1 as follows_holdout")
+def joint_early_stopping(lines):
+    """A label that nothing explains overfits: fitting stops by patience and ends with the best round on the holdout."""
+    _, train, _ = matrices(lines)
+    fitted, held = evaluation.holdout_split(train)
+    params = replace(JOINT, n_est=60, max_depth=4, gamma=0.0, min_rows=1, learning_rate=0.5, patience=3)
+    model = train_model("xGB", fitted, params, held)
+    losses = [r.held_loss for r in model.history]
+    loss = evaluation.model_loss(model, held).first()[0]
+    flags = (
+        len(losses) < params.n_est and len(losses) - model.best_round == params.patience,
+        len(model.trees) == model.best_round and losses[model.best_round - 1] == min(losses),
+        min(losses) < losses[-1],
+        abs(loss - model.best_score) < 1e-9,
+    )
+    return train.sparkSession.createDataFrame([tuple(map(int, flags))], "stopped int, rolled_back int, best_below_last int, follows_holdout int")
+
+
+@over_lines("oob_gains", "select cast(unnest(range(1, 5)) as int) as round, 1 as gains, 1 as equals_recount")
+def oob_gains(lines):
+    """Loss saved per round on the training visits it left out, and the same counted again from the models of both rounds."""
+    train, _ = planted_matrices(lines)
+    params = Params(n_est=4, max_depth=3)
+    model, growth = train_model("GB", train, params), gradient_growth(params)
+    rows = []
+    for turn, reported in enumerate(model.history):
+        out = train.where(left_out(growth, turn))
+        before, after = (evaluation.model_loss(model.staged(n), out).first()[0] for n in (turn, turn + 1))
+        rows.append((turn + 1, int(reported.oob_gain > 0), int(abs(before - after - reported.oob_gain) < 1e-9)))
+    return train.sparkSession.createDataFrame(rows, "round int, gains int, equals_recount int")
+
+
 @over_lines("test_model", "select * from (values ('ET', 1), ('RF', 1)) as t(model, loss_in_range)")
 def test_models(lines):
     """Holdout loss per model, which for any sane probabilities lies between zero and the clipping bound."""

@@ -7,6 +7,7 @@ array column of class probabilities. Training data has the columns visit_number,
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from math import log
 
@@ -22,6 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.models.softmax_boosting import Growth, SoftmaxBoostedModel, fit_softmax
 from basketry.operators.labels import class_index, class_values
 from basketry.operators.neighbors import nearest_neighbours, neighbour_votes
 from basketry.session import checkpointed
@@ -45,6 +47,8 @@ class Params:
     validation_column: str | None = None
     validation_tol: float = 0.01
     max_bins: int = 32
+    patience: int | None = 50
+    max_delta_step: float = 1.0
 
 
 def indexed(train: DataFrame, classes: list[int]) -> DataFrame:
@@ -148,6 +152,8 @@ def gradient_boosting(params: Params, n_rows: int | None = None) -> GBTClassifie
 
 
 def fit_boosted(train: DataFrame, params: Params, n_rows: int | None = None) -> BoostedModel:
+    """One model per class, each against the rest; the joint model of ``softmax_boosting`` is what the kinds by name use."""
+    params = _defaults(params, learning_rate=0.07, max_depth=7, subsample=0.5, feature_share=0.3)
     classes = class_values(train)
     one_vs_rest = OneVsRest(
         classifier=gradient_boosting(params, n_rows), labelCol="class_idx", parallelism=params.parallelism
@@ -159,14 +165,32 @@ def _defaults(params: Params, **values) -> Params:
     return replace(params, **{k: v for k, v in values.items() if getattr(params, k) is None})
 
 
-def fit_gradient_boosting(train: DataFrame, params: Params) -> BoostedModel:
-    return fit_boosted(train, _defaults(params, learning_rate=0.07, max_depth=7, subsample=0.5, feature_share=0.3))
+def gradient_growth(params: Params) -> Growth:
+    """Gradient steps from the class shares; a round learns from a share of the visits, a node from a share of the features."""
+    params = _defaults(params, learning_rate=0.07, max_depth=7, subsample=0.5, feature_share=0.3)
+    return Growth(
+        rounds=params.n_est, depth=params.max_depth, rate=params.learning_rate, newton=False, subsample=params.subsample,
+        feature_share=params.feature_share, min_rows=params.min_rows, max_bins=params.max_bins, patience=None, seed=params.seed,
+    )
 
 
-def fit_extreme_boosting(train: DataFrame, params: Params) -> BoostedModel:
-    """Boosting with a penalty per split. A cap on single leaf steps has no counterpart in Spark ML."""
+def newton_growth(params: Params) -> Growth:
+    """Newton steps with a price per split (``gamma``), a least weight per leaf (``min_rows``) and a bound on leaf steps."""
     params = _defaults(params, learning_rate=0.01, max_depth=8, subsample=0.75, feature_share=0.5)
-    return fit_boosted(train, params, train.count())
+    return Growth(
+        rounds=params.n_est, depth=params.max_depth, rate=params.learning_rate, subsample=params.subsample, feature_share=params.feature_share,
+        min_hessian=params.min_rows, gamma=params.gamma, max_delta_step=params.max_delta_step, max_bins=params.max_bins,
+        patience=params.patience, seed=params.seed,
+    )
+
+
+def fit_gradient_boosting(train: DataFrame, params: Params, holdout: DataFrame | None = None) -> SoftmaxBoostedModel:
+    return fit_softmax(train, gradient_growth(params), holdout)
+
+
+def fit_extreme_boosting(train: DataFrame, params: Params, holdout: DataFrame | None = None) -> SoftmaxBoostedModel:
+    """Stops after ``params.patience`` rounds without gain on the holdout, or in the training loss if there is none."""
+    return fit_softmax(train, newton_growth(params), holdout)
 
 
 # -- SAMME ------------------------------------------------------------------------------------------------------
@@ -258,7 +282,7 @@ def fit_neighbours(train: DataFrame, params: Params) -> NeighbourModel:
 
 # -- by name ------------------------------------------------------------------------------------------------------
 
-KINDS: dict[str, Callable[[DataFrame, Params], object]] = {
+KINDS: dict[str, Callable[..., object]] = {
     "RF": fit_forest,
     "ET": fit_diverse_forest,
     "GB": fit_gradient_boosting,
@@ -268,12 +292,23 @@ KINDS: dict[str, Callable[[DataFrame, Params], object]] = {
 }
 
 
-def train_model(kind: str, train: DataFrame, params: Params | None = None):
+BOOSTED = ("GB", "xGB")
+
+
+def train_model(kind: str, train: DataFrame, params: Params | None = None, holdout: DataFrame | None = None):
+    """A model by name. Boosted kinds follow the loss on the holdout round by round; the others do not look at it."""
     if kind not in KINDS:
         raise ValueError(f"unknown model kind {kind!r}; known are {', '.join(KINDS)}")
-    return KINDS[kind](train, params or Params())
+    extra = {"holdout": holdout} if kind in BOOSTED else {}
+    return KINDS[kind](train, params or Params(), **extra)
+
+
+def bagged_models(kind: str, train: DataFrame, n: int, params: Params | None = None, holdout: DataFrame | None = None) -> list:
+    """The same model for the seeds 1..n, fitted side by side."""
+    params = params or Params()
 
+    def one(seed: int):
+        return train_model(kind, train, replace(params, seed=seed), holdout)
 
-def bagged_models(kind: str, train: DataFrame, n: int, params: Params | None = None) -> list:
-    """The same model for the seeds 1..n."""
-    return [train_model(kind, train, replace(params or Params(), seed=seed)) for seed in range(1, n + 1)]
+    with ThreadPoolExecutor(max(1, min(n, params.parallelism))) as pool:
+        return list(pool.map(one, range(1, n + 1)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.columns import clipped
 from basketry.models.classifiers import BoostedModel, Params, train_model
+from basketry.models.softmax_boosting import SoftmaxBoostedModel
 from basketry.operators.labels import class_index
 
 SEARCH_GRID = {"learning_rate": [0.07], "max_depth": [10], "subsample": [0.5], "feature_share": [0.3]}
@@ -95,6 +96,11 @@ def feature_importance(model, names: DataFrame) -> DataFrame:
     return values.join(names, "feature_idx").select("feature_idx", "feature", "importance")
 
 
+def round_losses(spark: SparkSession, model: SoftmaxBoostedModel) -> DataFrame:
+    """The losses after every round that was fitted, also of those after the best one."""
+    return spark.createDataFrame(model.rounds(), "round int, train_loss double, held_loss double, oob_gain double")
+
+
 def boosting_rounds(model: BoostedModel, holdout: DataFrame) -> DataFrame:
     spark = holdout.sparkSession
     return spark.createDataFrame(model.rounds(holdout), "trip_type int, best_round int, best_score double")

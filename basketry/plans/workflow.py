@@ -13,6 +13,7 @@ from basketry.models import evaluation
 from basketry.models.blending import Blend, fit_blend
 from basketry.models.classifiers import Params, bagged_models
 from basketry.models.persistence import save_model
+from basketry.models.softmax_boosting import SoftmaxBoostedModel
 from basketry.operators import profile, ranking, sets
 from basketry.operators.distances import line_distances
 from basketry.operators.metrics import ensemble_mean
@@ -99,7 +100,10 @@ def begin_train(
     save_to: str | None = None,
     reports: Reports | None = None,
 ) -> Trained:
-    """Train ``n_models`` models of one kind; with a holdout their loss on it is reported."""
+    """Train ``n_models`` models of one kind; their training loss and, with a holdout, their loss on it are reported.
+
+    Boosted kinds follow the holdout round by round; xGB stops by it and reports its best round.
+    """
     params, reports = params or Params(), reports or Reports()
     spark = train.sparkSession
     features, matrix = prepare_train(train, config)
@@ -119,7 +123,12 @@ def begin_train(
         done["search"] = evaluation.parameter_search(kind, fitted, params)
     if reports.curve and held is not None:
         done["curve"] = evaluation.learning_curve(kind, fitted, held, reports.curve, params)
-    models = bagged_models(kind, fitted, n_models, params)
+    models = bagged_models(kind, fitted, n_models, params, held)
+    done["training_losses"] = evaluation.model_losses(spark, {f"{kind}-{i}": m for i, m in enumerate(models)}, fitted)
+    boosted = [m for m in models if isinstance(m, SoftmaxBoostedModel)]
+    if boosted:
+        done["rounds"] = [evaluation.round_losses(spark, m) for m in boosted]
+        done["best_rounds"] = [(m.best_round, m.best_score) for m in boosted]
     trained = Trained(features, models, blend, done)
     if save_to:
         for i, model in enumerate(models):
