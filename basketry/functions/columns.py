@@ -72,3 +72,10 @@ def replace_by(c: str | Column, mapping: dict[str, str]) -> Column:
     for old, new in mapping.items():
         result = F.when(col(c) == old, F.lit(new)).otherwise(result)
     return result
+
+
+def vector_parts(features: str = "features") -> tuple[Column, Column]:
+    """Positions and values of a vector column, sparse or dense, without leaving the JVM."""
+    vector = F.unwrap_udt(features)
+    dense = F.transform(vector["values"], lambda v, i: i.cast("int"))
+    return F.coalesce(vector["indices"], dense), vector["values"]

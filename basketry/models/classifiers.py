@@ -20,9 +20,11 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketry.functions.columns import vector_parts
+from basketry.models.random_trees import RandomTreesModel, fit_random_trees
 from basketry.models.softmax_boosting import Growth, SoftmaxBoostedModel, fit_softmax
 from basketry.operators.labels import class_index, class_values
 from basketry.operators.neighbors import nearest_neighbours, neighbour_votes
@@ -90,9 +92,10 @@ def fit_forest(train: DataFrame, params: Params) -> ForestModel:
     return ForestModel(classes, random_forest(params).fit(indexed(train, classes)))
 
 
-def fit_diverse_forest(train: DataFrame, params: Params) -> ForestModel:
-    """Stands in for extremely randomised trees: a forest with few, coarse split points and another seed."""
-    return fit_forest(train, replace(params, max_bins=8, seed=params.seed + 1000))
+def fit_random_cuts(train: DataFrame, params: Params) -> RandomTreesModel:
+    """Extremely randomised trees: each node draws its own cut points."""
+    depth = MAX_TREE_DEPTH if params.max_depth is None else params.max_depth
+    return fit_random_trees(train, params.n_est, depth, params.min_rows, params.seed)
 
 
 # -- boosting ---------------------------------------------------------------------------------------------------
@@ -258,14 +261,19 @@ def fit_samme(train: DataFrame, params: Params) -> SammeModel:
 # -- nearest neighbours -------------------------------------------------------------------------------------------
 
 
+def _entries() -> tuple[Column, Column]:
+    positions, values = vector_parts("features")
+    return positions.alias("idx"), values.alias("val")
+
+
 @dataclass
 class NeighbourModel:
     classes: list[int]
-    train: DataFrame  # id, label, vec
+    train: DataFrame  # id, label, idx, val
     k: int
 
     def with_probability(self, matrix: DataFrame, out: str = "probability") -> DataFrame:
-        queries = matrix.select(F.col("visit_number").alias("id"), vector_to_array("features").alias("vec"))
+        queries = matrix.select(F.col("visit_number").alias("id"), *_entries())
         votes = neighbour_votes(nearest_neighbours(self.train, queries, self.k))
         share = F.map_from_entries(F.collect_list(F.struct("label", "p")))
         of_class = votes.groupBy(F.col("query_id").alias("visit_number")).agg(share.alias("_share"))
@@ -274,9 +282,7 @@ class NeighbourModel:
 
 
 def fit_neighbours(train: DataFrame, params: Params) -> NeighbourModel:
-    rows = train.select(
-        F.col("visit_number").alias("id"), F.col("trip_type").alias("label"), vector_to_array("features").alias("vec")
-    )
+    rows = train.select(F.col("visit_number").alias("id"), F.col("trip_type").alias("label"), *_entries())
     return NeighbourModel(class_values(train), rows, params.n_est)
 
 
@@ -284,7 +290,7 @@ def fit_neighbours(train: DataFrame, params: Params) -> NeighbourModel:
 
 KINDS: dict[str, Callable[..., object]] = {
     "RF": fit_forest,
-    "ET": fit_diverse_forest,
+    "ET": fit_random_cuts,
     "GB": fit_gradient_boosting,
     "AB": fit_samme,
     "KNN": fit_neighbours,

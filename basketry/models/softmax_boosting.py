@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.functions.columns import vector_parts
 from basketry.operators.labels import class_index, class_values
 from basketry.session import fresh_path
 
@@ -158,13 +159,6 @@ class Trees:
         return self.weight[np.arange(len(self.feature))[None, :], self.places(binned)]
 
 
-def _parts(features: str = "features"):
-    """Positions and values of a vector column, sparse or dense, without leaving the JVM."""
-    vector = F.unwrap_udt(features)
-    dense = F.transform(vector["values"], lambda v, i: i.cast("int"))
-    return F.coalesce(vector["indices"], dense), vector["values"]
-
-
 def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values of a list column and the row of each."""
     lengths = np.diff(column.offsets.to_numpy())
@@ -440,7 +434,7 @@ class SoftmaxBoostedModel:
             p = np.concatenate(parts)
             return pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
 
-        positions, values = _parts()
+        positions, values = vector_parts()
         return matrix.withColumn(out, probability(positions, values))
 
     def importances(self) -> list[float]:
@@ -472,7 +466,7 @@ class SoftmaxBoostedModel:
 
 def sampled_cuts(train: DataFrame, max_bins: int) -> Cuts:
     """Cut points from the values of at most ``CUT_ROWS`` visits; only these few rows reach the driver."""
-    positions, values = _parts()
+    positions, values = vector_parts()
     size = train.select(F.unwrap_udt("features").alias("v")).select(F.coalesce(F.col("v.size"), F.size("v.values"))).first()
     chosen = train.select("visit_number", positions.alias("i"), values.alias("v")).orderBy(F.xxhash64("visit_number"), "visit_number").limit(CUT_ROWS).collect()
     feature = np.concatenate([np.zeros(0, int), *(np.array(r["i"], int) for r in chosen)])
@@ -482,7 +476,7 @@ def sampled_cuts(train: DataFrame, max_bins: int) -> Cuts:
 
 def binned_rows(train: DataFrame, holdout: DataFrame | None, classes: list[int], cuts: Cuts, base: np.ndarray) -> DataFrame:
     """The state before the first round."""
-    positions, values = _parts()
+    positions, values = vector_parts()
 
     @F.arrow_udf("array<int>")
     def bins(p: pa.Array, v: pa.Array) -> pa.Array:

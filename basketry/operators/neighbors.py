@@ -1,91 +1,292 @@
-"""Exact k-nearest-neighbour join.
+"""Exact k-nearest-neighbour join over sparse rows, pruned by the triangle inequality.
 
-Both tables are cut into blocks of about equal size by a hash of their unique ids, every block pair meets in one
-task, and each task keeps at most k neighbours per query. Tasks hold two blocks, whatever the size of the tables,
-and pairs of rows are never written: only the k best of each block pair are.
+A bounded number of training rows are pivots. Every training row belongs to the cell of its nearest pivot; a cell is known by its size and by the least and
+greatest distance of its rows from the pivot. A query first visits its home cells, the nearest ones that hold k rows together.
+Its k-th neighbour there bounds the search: a further cell is visited only if the triangle inequality lets it hold something nearer. What the
+two visits keep, at most k rows per query and block, is merged to the k best.
+
+Crowded cells are split: training rows into blocks, and the queries that visit a cell into blocks too, so a task holds two blocks
+whatever the size of the tables and wherever the rows lie, and pairs of rows are never written. Rows travel as positions and
+values; a task works through the columns that its two blocks use a slice at a time, so its memory does not grow with the number of features.
+
+``approximate_neighbours`` is the cheaper, inexact search by random projections.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.session import materialize
+
 BLOCK_ROWS = 4096
+PIVOTS = 256
+CELL_ROWS = 256  # training rows per pivot, while there are fewer than PIVOTS
+COLUMNS = 2048  # columns a task makes dense at once
 NEIGHBOURS = "query_id bigint, distance2 double, neighbour_id bigint, label int"
 
 
-def _nearest_in_block(k: int):
+def sparse_parts(vec: str = "vec") -> tuple[Column, Column]:
+    """Positions and values of the entries of an array that are not zero."""
+    cells = F.filter(F.transform(vec, lambda v, i: F.struct(i.cast("int").alias("i"), v.cast("double").alias("v"))), lambda e: e["v"] != 0)
+    return F.transform(cells, lambda e: e["i"]), F.transform(cells, lambda e: e["v"])
+
+
+def as_sparse(rows: DataFrame, *also: str) -> DataFrame:
+    """id, idx, val and further columns of rows that have a ``vec`` or are sparse already."""
+    idx, val = (F.col("idx"), F.col("val")) if "idx" in rows.columns else sparse_parts()
+    return rows.select("id", *also, idx.alias("idx"), val.alias("val"))
+
+
+class Rows:
+    """Sparse rows of one block: all entries behind one another."""
+
+    def __init__(self, idx, val):
+        lengths = np.array([len(i) for i in idx], np.int64)
+        self.n, self.first = len(lengths), np.concatenate(([0], np.cumsum(lengths)))
+        self.row = np.repeat(np.arange(self.n), lengths)
+        self.idx = np.concatenate([np.zeros(0, np.int64), *(np.asarray(i, np.int64) for i in idx)])
+        self.val = np.concatenate([np.zeros(0), *(np.asarray(v, float) for v in val)])
+        self.squares = np.bincount(self.row, self.val**2, self.n)
+
+    def dense(self, columns: np.ndarray) -> np.ndarray:
+        """The rows over some columns, given in ascending order."""
+        at = np.searchsorted(columns, self.idx)
+        known = at < len(columns)
+        known[known] = columns[at[known]] == self.idx[known]
+        out = np.zeros((self.n, len(columns)))
+        out[self.row[known], at[known]] = self.val[known]
+        return out
+
+
+def products(a: Rows, b: Rows) -> np.ndarray:
+    """All inner products of the rows of two blocks."""
+    shared = np.intersect1d(a.idx, b.idx)
+    out = np.zeros((a.n, b.n))
+    for at in range(0, len(shared), COLUMNS):
+        some = shared[at : at + COLUMNS]
+        out += a.dense(some) @ b.dense(some).T
+    return out
+
+
+def exact_distances(a: Rows, b: Rows, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Squared distances of listed pairs, summed in the order of the positions: the same for the same two rows in any block."""
+    found = np.empty(len(rows))
+    size = np.diff(a.first)[rows] + np.diff(b.first)[cols]
+    edges = np.concatenate(([0], np.cumsum(size)))
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + 2_000_000, "right")) - 1)
+        parts = []
+        for block, which, sign in ((a, rows[at:to], 1.0), (b, cols[at:to], -1.0)):
+            lengths = np.diff(block.first)[which]
+            pair = np.repeat(np.arange(len(which)), lengths)
+            entry = np.arange(len(pair)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(block.first[which], lengths)
+            parts.append((pair, block.idx[entry], sign * block.val[entry]))
+        pair, idx, val = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.lexsort((idx, pair))
+        pair, idx, val = pair[order], idx[order], val[order]
+        new = np.ones(len(pair), bool)
+        new[1:] = (pair[1:] != pair[:-1]) | (idx[1:] != idx[:-1])
+        first = np.flatnonzero(new)
+        gap = np.add.reduceat(val, first) if len(first) else np.zeros(0)
+        found[at:to] = np.bincount(pair[first], gap**2, to - at)
+        at = to
+    return found
+
+
+def _best(queries: pd.DataFrame, train: pd.DataFrame, k: int) -> pd.DataFrame:
     """The work of one task: two blocks of rows in, at most k neighbours per query out."""
+    if queries.empty or train.empty:
+        return pd.DataFrame({"query_id": [], "distance2": [], "neighbour_id": [], "label": []})
+    train = train.sort_values("id", ignore_index=True)
+    known = Rows(train["idx"], train["val"])
+    kept, result = min(k, known.n), []
+    for at in range(0, len(queries), 256):
+        some = Rows(queries["idx"].iloc[at : at + 256], queries["val"].iloc[at : at + 256])
+        # A matrix product gives all distances up to rounding. Whatever the rounding could have put among the first k is measured again exactly.
+        rough = some.squares[:, None] + known.squares[None, :] - 2.0 * products(some, known)
+        rounding = 1e-13 * (64 + max(np.diff(some.first).max(), np.diff(known.first).max())) * (some.squares + known.squares.max())
+        limit = np.partition(rough, kept - 1, axis=1)[:, kept - 1] + 2 * rounding
+        rows, cols = np.nonzero(rough <= limit[:, None])
+        distance = exact_distances(some, known, rows, cols)
+        order = np.lexsort((cols, distance, rows))  # columns are in id order
+        rows, cols, distance = rows[order], cols[order], distance[order]
+        best = np.arange(len(rows)) - np.searchsorted(rows, np.arange(some.n))[rows] < kept
+        result.append((rows[best] + at, cols[best], distance[best]))
+    rows, cols, distance = (np.concatenate(part) for part in zip(*result, strict=True))
+    ids, labels = train["id"].to_numpy(), train["label"].to_numpy()
+    return pd.DataFrame({"query_id": queries["id"].to_numpy()[rows], "distance2": distance, "neighbour_id": ids[cols], "label": labels[cols]})
 
-    def exact(points, known, rows, cols):
-        """Squared distances of listed pairs, a slice of pairs at a time."""
-        found = np.empty(len(rows))
-        step = max(1, 4_000_000 // points.shape[1])
-        for at in range(0, len(rows), step):
-            part = slice(at, at + step)
-            found[part] = ((points[rows[part]] - known[cols[part]]) ** 2).sum(axis=1)
-        return found
-
-    def nearest(queries: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or train.empty:
-            return pd.DataFrame({"query_id": [], "distance2": [], "neighbour_id": [], "label": []})
-        train = train.sort_values("id", ignore_index=True)
-        points, known = np.stack(queries["vec"].to_numpy()), np.stack(train["vec"].to_numpy())
-        kept, lengths = min(k, len(known)), (known * known).sum(axis=1)
-        result = []
-        for at in range(0, len(points), 256):
-            some = points[at : at + 256]
-            own = (some * some).sum(axis=1)
-            # A matrix product gives all distances up to rounding. Whatever the rounding could have put among the
-            # first k is measured again exactly.
-            rough = own[:, None] + lengths[None, :] - 2.0 * (some @ known.T)
-            rounding = 1e-13 * points.shape[1] * (own + lengths.max())
-            limit = np.partition(rough, kept - 1, axis=1)[:, kept - 1] + 2 * rounding
-            rows, cols = np.nonzero(rough <= limit[:, None])
-            distance = exact(some, known, rows, cols)
-            order = np.lexsort((cols, distance, rows))  # columns are in id order
-            rows, cols, distance = rows[order], cols[order], distance[order]
-            first = np.searchsorted(rows, np.arange(len(some)))
-            best = np.arange(len(rows)) - first[rows] < kept
-            result.append((rows[best] + at, cols[best], distance[best]))
-        rows, cols, distance = (np.concatenate(part) for part in zip(*result, strict=True))
-        return pd.DataFrame(
-            {
-                "query_id": queries["id"].to_numpy()[rows],
-                "distance2": distance,
-                "neighbour_id": train["id"].to_numpy()[cols],
-                "label": train["label"].to_numpy()[cols],
-            }
-        )
-
-    return nearest
 
+@dataclass
+class NeighbourJoin:
+    """``neighbours``: query_id, distance2, neighbour_id, label, place. ``report``: rows, cells and visits of the search."""
 
-def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The k nearest training rows of each query row, ties by id.
+    neighbours: DataFrame
+    report: dict[str, int]
 
-    ``train``: id, label, vec (array of double); ``queries``: id, vec. Ids are unique within each table.
-    """
-    train_blocks = max(1, ceil(train.count() / block_rows))
-    query_blocks = max(1, ceil(queries.count() / block_rows))
 
-    def block(n: int):
-        return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+def _pivot_distances(pivots: Rows, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Distances to all pivots, and by how much each may be off."""
+    mine = Rows(rows["idx"], rows["val"])
+    scale = mine.squares[:, None] + pivots.squares[None, :]
+    return np.sqrt(np.maximum(scale - 2 * products(mine, pivots), 0)), 1e-6 * np.sqrt(scale)
 
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = queries.select("id", "vec", block(query_blocks).alias("qb")).withColumn("tb", every(train_blocks))
-    right = train.select("id", "label", "vec", block(train_blocks).alias("tb")).withColumn("qb", every(query_blocks))
-    found = left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInPandas(_nearest_in_block(k), NEIGHBOURS)
+def _place(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("distance2", "neighbour_id")
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
+def neighbour_join(train: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS, cell_rows: int = CELL_ROWS) -> NeighbourJoin:
+    """The k nearest training rows of each query row, ties by id, and how much was visited for them.
+
+    ``train``: id, label and ``vec`` (array of double) or ``idx`` and ``val``; ``queries``: id and the same. Ids are unique within each table.
+    """
+    train, queries = as_sparse(train, "label"), as_sparse(queries)
+    n = train.count()
+    if not n:
+        return NeighbourJoin(queries.sparkSession.createDataFrame([], NEIGHBOURS + ", place int"), {})
+    wanted = min(pivots, ceil(n / cell_rows))
+    chosen = train.select("idx", "val", "id").orderBy(F.xxhash64("id"), "id").limit(wanted).collect()  # at most ``pivots`` rows
+    pivot_idx, pivot_val = [list(r["idx"]) for r in chosen], [list(r["val"]) for r in chosen]
+
+    def located(batches):
+        centers = Rows(pivot_idx, pivot_val)
+        for rows in batches:
+            for at in range(0, len(rows), 4096):
+                some = rows.iloc[at : at + 4096]
+                distance, slack = _pivot_distances(centers, some)
+                cell, every = distance.argmin(axis=1), np.arange(len(some))
+                low, high = (distance[every, cell] + s * slack[every, cell] for s in (-1, 1))
+                yield some.assign(cell=cell.astype(np.int32), low=low, high=high)
+
+    cells = materialize(train.mapInPandas(located, "id bigint, label int, idx array<int>, val array<double>, cell int, low double, high double"), "neighbour-cells")
+    stats = {r["cell"]: r for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()}
+    used = np.array(sorted(stats))
+    size, nearest, farthest = (np.array([stats[c][f] for c in used.tolist()], float) for f in ("n", "low", "high"))
+
+    def routed(batches):
+        centers = Rows(pivot_idx, pivot_val)
+        for rows in batches:
+            for at in range(0, len(rows), 4096):
+                some = rows.iloc[at : at + 4096]
+                distance, slack = _pivot_distances(centers, some)
+                distance, slack = distance[:, used], slack[:, used]
+                order = np.argsort(distance, axis=1, kind="stable")
+                enough = np.cumsum(size[order], axis=1) - size[order] < k  # cells before this one hold fewer than k rows
+                home = [used[o[e]].tolist() for o, e in zip(order, enough, strict=True)]
+                bound = np.maximum(np.maximum(distance - slack - farthest, nearest - distance - slack), 0)
+                more = [[(int(c), float(b)) for c, b in zip(used[o[~e]], bs[o[~e]], strict=True)] for o, e, bs in zip(order, enough, bound, strict=True)]
+                yield some.assign(home=home, more=more)
+
+    schema = "id bigint, idx array<int>, val array<double>, home array<int>, more array<struct<cell:int,bound:double>>"
+    routes = materialize(queries.mapInPandas(routed, schema), "neighbour-routes")
+    blocks_of = {int(c): ceil(s / block_rows) for c, s in zip(used, size, strict=True)}
+
+    def count_of(counts: dict[int, int]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for item in counts.items() for x in item]), F.col("cell"))
+
+    def visit(visits: DataFrame) -> tuple[DataFrame | None, int]:
+        """Queries in the cells listed for them: the best k of every pair of blocks, and the number of pairs of query and cell."""
+        asked = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        if not asked:
+            return None, 0
+        query_blocks = {c: ceil(m / block_rows) for c, m in asked.items()}
+        train_blocks = {c: blocks_of[c] for c in asked}
+
+        def block(counts: dict[int, int]) -> Column:
+            return F.pmod(F.xxhash64("id"), count_of(counts)).cast("int")
+
+        def every(counts: dict[int, int]) -> Column:
+            return F.explode(F.sequence(F.lit(0), count_of(counts).cast("int") - 1))
+
+        left = visits.withColumn("qb", block(query_blocks)).withColumn("tb", every(train_blocks))
+        right = cells.where(F.col("cell").isin(list(asked))).withColumn("tb", block(train_blocks)).withColumn("qb", every(query_blocks))
+
+        def work(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+            return _best(mine, theirs, k)
+
+        keys = ["cell", "qb", "tb"]
+        found = left.select("id", "idx", "val", *keys).groupBy(*keys).cogroup(right.select("id", "label", "idx", "val", *keys).groupBy(*keys))
+        return found.applyInPandas(work, NEIGHBOURS), sum(asked.values())
+
+    first, home_visits = visit(routes.select("id", "idx", "val", F.explode("home").alias("cell")))
+    report = {"train_rows": n, "cells": len(used), "home_visits": home_visits, "more_visits": 0, "all_visits": 0}
+    if first is None:  # no queries
+        return NeighbourJoin(queries.sparkSession.createDataFrame([], NEIGHBOURS + ", place int"), report)
+    first = materialize(_place(first, k).drop("place"), "neighbours-home")
+    reached = first.groupBy(F.col("query_id").alias("id")).agg(F.max("distance2").alias("reach2"))
+    open_cells = F.filter("more", lambda e: e["bound"] * e["bound"] <= F.col("reach2") * (1 + 1e-9))
+    further = routes.join(reached, "id").select("id", "idx", "val", F.explode(open_cells).alias("e"))
+    second, more_visits = visit(further.select("id", "idx", "val", F.col("e.cell").alias("cell")))
+    report |= {"more_visits": more_visits, "all_visits": routes.count() * len(used)}
+    return NeighbourJoin(_place(first if second is None else first.unionByName(second), k), report)
+
+
+def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k nearest training rows of each query row, ties by id; see ``neighbour_join``."""
+    return neighbour_join(train, queries, k, block_rows).neighbours
+
+
+def approximate_neighbours(train: DataFrame, queries: DataFrame, k: int, width: float, tables: int = 8, projections: int = 4, seed: int = 1) -> DataFrame:
+    """k near rows of each query among those that share a bucket of random projections; distances are exact, some neighbours may be missing.
+
+    ``width`` is the bucket width in the units of the distance: larger finds more and costs more. The projections are drawn from
+    hashes of the positions, so they need no number of features and are the same in every task. Buckets of many rows are split by
+    a hash of the training id; every part meets the bucket's queries. ``recall`` measures the result.
+    """
+
+    def keyed(batches):
+        for rows in batches:
+            mine = Rows(rows["idx"], rows["val"])
+            positions, at = np.unique(mine.idx, return_inverse=True)
+            total = np.zeros((mine.n, tables * projections))
+            for j, random in enumerate(np.random.default_rng([seed, s]) for s in range(tables * projections)):
+                shift, salt = random.random(), int(random.integers(1 << 62))
+                draws = np.array([np.random.default_rng([salt, int(p)]).normal() for p in positions])
+                total[:, j] = np.floor(np.bincount(mine.row, draws[at] * mine.val, mine.n) / width + shift)
+            keys = total.astype(np.int64).reshape(mine.n, tables, projections)
+            yield rows.assign(buckets=[[f"{t}:" + ",".join(map(str, key)) for t, key in enumerate(row)] for row in keys.tolist()])
+
+    train, queries = as_sparse(train, "label"), as_sparse(queries)
+    left = queries.mapInPandas(keyed, "id bigint, idx array<int>, val array<double>, buckets array<string>")
+    right = train.mapInPandas(keyed, "id bigint, label int, idx array<int>, val array<double>, buckets array<string>")
+    right = materialize(right.withColumn("bucket", F.explode("buckets")).drop("buckets"), "neighbour-buckets")
+    left = materialize(left.withColumn("bucket", F.explode("buckets")).drop("buckets"), "neighbour-lookups")
+    sizes = right.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("tbs"))
+    asked = left.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("qbs"))
+    plan = sizes.join(asked, "bucket")
+
+    def block(n: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def work(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        return _best(mine, theirs, k)
+
+    keys = ["bucket", "qb", "tb"]
+    l_rows = left.join(plan, "bucket").withColumn("qb", block("qbs")).withColumn("tb", every("tbs")).select("id", "idx", "val", *keys)
+    r_rows = right.join(plan, "bucket").withColumn("tb", block("tbs")).withColumn("qb", every("qbs")).select("id", "label", "idx", "val", *keys)
+    found = l_rows.groupBy(*keys).cogroup(r_rows.groupBy(*keys)).applyInPandas(work, NEIGHBOURS)
+    return _place(found.dropDuplicates(["query_id", "neighbour_id"]), k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """Share of the exact neighbours that were found."""
+    pairs = exact.select("query_id", "neighbour_id")
+    total, hits = pairs.count(), pairs.join(found.select("query_id", "neighbour_id"), ["query_id", "neighbour_id"]).count()
+    return hits / total if total else 1.0
+
+
 def neighbour_votes(neighbours: DataFrame) -> DataFrame:
     """Share of each label among a query's neighbours; labels without a vote have no row."""
     votes = neighbours.groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("n"))
