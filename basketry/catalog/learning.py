@@ -22,7 +22,7 @@ from basketry.models.persistence import load_model, save_model
 from basketry.models.softmax_boosting import left_out
 from basketry.operators import clean, encode, visits
 from basketry.operators.joins import join_blocks
-from basketry.operators.metrics import ensemble_mean, prior_log_loss
+from basketry.operators.metrics import ensemble_mean, multiclass_log_loss, prior_log_loss
 from basketry.plans.features import FeatureModel
 from basketry.plans.scoring import predict
 from basketry.plans.workflow import begin_test, begin_train, ensemble, prepare_test, prepare_train
@@ -237,6 +237,64 @@ def oob_gains(lines):
     return train.sparkSession.createDataFrame(rows, "round int, gains int, equals_recount int")
 
 
+KIND_SIZES = {
+    "RF": Params(n_est=50, max_depth=8, parallelism=8),
+    "ET": Params(n_est=40, max_depth=6),
+    "GB": Params(n_est=15, max_depth=4, learning_rate=0.3),
+    "AB": Params(n_est=20),
+    "KNN": Params(n_est=25),
+    "xGB": Params(n_est=15, max_depth=4, learning_rate=0.5, gamma=0.1, patience=5),
+}
+
+
+@over_lines(
+    "planted_losses",
+    f"select * from (with {PLANTED_SQL} select k.model, n_held, prior_loss, 1 as beats_prior from prior cross join (values ('RF'), ('ET'), ('GB'), ('AB'), ('KNN'), ('xGB')) k(model)) p",
+)
+def planted_losses(lines):
+    """Each kind on a label that its features explain: its held-out loss must be below that of the class shares, which no uniform guess reaches."""
+    train, held = planted_matrices(lines)
+    prior = prior_log_loss(train, held).first()[0]
+    rows = None
+    for kind, params in KIND_SIZES.items():
+        scored = predict(train_model(kind, train, params, held), held)
+        loss = multiclass_log_loss(scored, held.select("visit_number", "trip_type"), eps=1e-3).first()[0]  # neighbours may give the true class no vote
+        one = with_prior(train, held, {"beats_prior": loss < prior}).withColumn("model", F.lit(kind))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+STAGES = [50, 100, 150, 200]
+
+
+@over_lines(
+    "staged_curve",
+    f"""select * from (with {PLANTED_SQL} select n_est, part, n_held, prior_loss, 1 as beats_prior from prior
+      cross join (select cast(unnest([{", ".join(map(str, STAGES))}]) as int) as n_est) s cross join (values ('train'), ('holdout')) p(part)) c""",
+)
+def staged_curve(lines):
+    """Training and held-out loss of a forest at 50, 100, 150 and 200 trees, all from one fit."""
+    train, held = planted_matrices(lines)
+    curve = evaluation.learning_curve("RF", train, held, STAGES, replace(FOREST, max_depth=6))
+    prior = prior_log_loss(train, held).first()[0]
+    flags = curve.select("n_est", "part", (F.col("log_loss") < prior / 2).cast("int").alias("beats_prior"))
+    return flags.join(F.broadcast(with_prior(train, held, {})))
+
+
+SEARCHED = {"max_depth": [1, 4], "learning_rate": [0.05, 0.5]}
+
+
+@over_lines("random_search", f"select * from (with {PLANTED_SQL} select 4 as n_draws, n_held, prior_loss, 1 as best_is_least, 1 as beats_prior from prior) p")
+def random_search(lines):
+    """Threefold cross-validation of every draw, hopeless ones stopped, and the best point fitted again."""
+    train, held = planted_matrices(lines)
+    found = evaluation.random_search("xGB", train, Params(n_est=4, gamma=0.1, parallelism=4), SEARCHED)
+    whole = [d.mean for d in found.draws if d.mean is not None]
+    loss, prior = evaluation.model_loss(found.model, held).first()[0], prior_log_loss(train, held).first()[0]
+    flags = {"n_draws": len(found.draws), "best_is_least": found.best.mean == min(whole), "beats_prior": loss < prior}
+    return with_prior(train, held, flags)
+
+
 @over_lines("test_model", "select * from (values ('ET', 1), ('RF', 1)) as t(model, loss_in_range)")
 def test_models(lines):
     """Holdout loss per model, which for any sane probabilities lies between zero and the clipping bound."""

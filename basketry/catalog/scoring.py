@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from basketry.catalog.base import CLASSES, fixed_probabilities, over_lines, register, rounded
-from basketry.models.evaluation import fold, holdout_split
+from basketry.models.evaluation import fold, holdout_split, stratified_fold, stratified_split
 from basketry.operators import clean, encode, labels, metrics, stats, visits
 from basketry.operators.ranking import value_counts, with_position
 from basketry.operators.sets import max_per_key
@@ -261,3 +261,21 @@ def cross_validation_folds(lines):
     return folds.groupBy("visit_number", "trip_type").agg(
         F.count_distinct("fold").cast("int").alias("n_folds"), F.max(F.col("fold").between(0, 2).cast("int")).alias("in_range")
     )
+
+
+STRATA_SQL = """select visit_number, trip_type, row_number() over (partition by trip_type order by md5(visit_number || ':1')) - 1 as place,
+  count(*) over (partition by trip_type) as n from labels"""
+
+
+@over_lines("stratified_split", f"select visit_number, trip_type, cast(place < floor(n * 0.1 + 0.5) as int) as held from ({STRATA_SQL}) s")
+def stratified_split_of_visits(lines):
+    """Exactly a tenth of each class is held out, the same visits everywhere."""
+    labels = visits.visit_labels(lines)
+    fitted, held = stratified_split(labels, 0.1)
+    return fitted.withColumn("held", F.lit(0)).unionByName(held.withColumn("held", F.lit(1)))
+
+
+@over_lines("stratified_folds", f"select visit_number, trip_type, cast(floor(place * 3 / n) as int) as fold from ({STRATA_SQL}) s")
+def stratified_folds(lines):
+    labels = visits.visit_labels(lines)
+    return labels.withColumn("fold", stratified_fold(labels, 3))

@@ -64,6 +64,7 @@ def indexed(train: DataFrame, classes: list[int]) -> DataFrame:
 class ForestModel:
     classes: list[int]
     model: RandomForestClassificationModel
+    leaf_shares: list | None = None  # class shares per tree and leaf, where staged scores are wanted
 
     def with_probability(self, matrix: DataFrame, out: str = "probability") -> DataFrame:
         scored = self.model.transform(matrix)
@@ -208,20 +209,29 @@ class SammeModel:
     alphas: list[float] = field(default_factory=list)
 
     def with_votes(self, matrix: DataFrame, out: str) -> DataFrame:
-        scored, votes = matrix, [F.lit(0.0)] * len(self.classes)
-        for i, (tree, alpha) in enumerate(zip(self.trees, self.alphas, strict=True)):
-            one = tree.copy({tree.probabilityCol: f"_p{i}", tree.rawPredictionCol: f"_r{i}", tree.predictionCol: f"_c{i}"})
+        """Each tree is evaluated once per visit: its answer enters the plan in one place only."""
+        scored = matrix
+        for i, tree in enumerate(self.trees):
+            one = tree.copy({tree.probabilityCol: "", tree.rawPredictionCol: "", tree.predictionCol: f"_c{i}"})
             scored = one.transform(scored)
-            votes = [v + F.when(F.col(f"_c{i}") == k, F.lit(alpha)).otherwise(0.0) for k, v in enumerate(votes)]
-        return scored.select(*matrix.columns, F.array(*votes).alias(out))
+        answers = F.array(*[F.struct(F.col(f"_c{i}").alias("c"), F.lit(a).alias("a")) for i, a in enumerate(self.alphas)])
+        none = F.array(*[F.lit(0.0)] * len(self.classes))
+
+        def add(votes: Column, answer: Column) -> Column:
+            return F.transform(votes, lambda v, k: v + F.when(answer["c"] == k, answer["a"]).otherwise(0.0))
+
+        return scored.select(*matrix.columns, F.aggregate(answers, none, add).alias(out))
 
     def with_probability(self, matrix: DataFrame, out: str = "probability") -> DataFrame:
         """Softmax of the class votes, scaled by the number of classes less one."""
         k, total = len(self.classes), sum(self.alphas)
+
+        def share(powers: Column) -> Column:
+            return F.transform(powers, lambda e: e / F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x))
+
         voted = self.with_votes(matrix, "_votes")
-        powers = voted.withColumn("_e", F.transform("_votes", lambda v: F.exp(v / F.lit(total) / F.lit(k - 1.0))))
-        norm = F.aggregate("_e", F.lit(0.0), lambda acc, e: acc + e)
-        return powers.select(*matrix.columns, F.transform("_e", lambda e: e / norm).alias(out))
+        powers = F.transform("_votes", lambda v: F.exp(v / F.lit(total) / F.lit(k - 1.0)))
+        return voted.select(*matrix.columns, F.transform(F.array(powers), share)[0].alias(out))
 
     def importances(self) -> list[float]:
         weighted = [a * t.featureImportances.toArray() for a, t in zip(self.alphas, self.trees, strict=True)]

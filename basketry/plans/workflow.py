@@ -112,7 +112,7 @@ def begin_train(
         done["chi2"] = chi2_scores(nonnegative_triples(matrix, features), matrix.select("visit_number", "trip_type"))
     if reports.distances:
         done["distances"] = line_distances(train)
-    fitted, held = evaluation.holdout_split(matrix, holdout_share) if holdout_share else (matrix, None)
+    fitted, held = evaluation.stratified_split(matrix, holdout_share) if holdout_share else (matrix, None)
     blend = None
     if with_blend:
         blend, fitted = fit_blend(fitted, blend_base)
@@ -120,7 +120,7 @@ def begin_train(
     if reports.cross_validation:
         done["cross_validation"] = evaluation.cross_validated_loss(fitted, params, kind=kind)
     if reports.search:
-        done["search"] = evaluation.parameter_search(kind, fitted, params)
+        done["search"] = evaluation.random_search(kind, fitted, params)
     if reports.curve and held is not None:
         done["curve"] = evaluation.learning_curve(kind, fitted, held, reports.curve, params)
     models = bagged_models(kind, fitted, n_models, params, held)
