@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from basketry.catalog.base import CONFIG, EXCLUDED, FINELINES, UPCS, fixed_probabilities, over_lines, register, rounded
 from basketry.catalog.visits import ALL_SCALARS_SQL, GROUP_SQL, SCALAR_SQL
+from basketry.functions.columns import vector_parts
 from basketry.operators import clean, distances, encode, metrics, neighbors, sets, visits, vocabulary
 from basketry.operators.joins import join_blocks
 from basketry.plans.features import FeatureModel, triples, vector_triples
@@ -210,39 +211,59 @@ def shared_vocab_columns(lines):
 def visit_feature_entries(lines):
     """The entries of the vectors of all visits, with the vocabularies of the training visits."""
     model = FeatureModel.fit(training_lines(lines), CONFIG)
-    return named(vector_triples(model.transform(lines)), model)
+    return named(vector_triples(model.matrix(lines)), model)
 
 
-MATRIX_SQL = f"select visit_number, max(trip_type) as trip_type, {ALL_SCALARS_SQL}, {GROUP_SQL}, count(*) as n_lines from {{}} where {DEPT} is not null group by 1"
-
-
-def _wide(matrix):
-    return matrix.drop("entries", "features")
+VOCAB_SQL = f"""select feature, row_number() over (order by place, value) + 12 as feature_idx from (
+  select 0 as place, d as value, 'dept_share=' || d as feature from (select distinct {DEPT} as d from train where {DEPT} is not null) t
+  union all select distinct 1, {MERGED}, 'dept_lines=' || {MERGED} from train where {DEPT} is not null
+  union all select 2, d, 'dept_scans=' || d from (select distinct {DEPT} as d from train where {DEPT} is not null) t
+  union all select 3, cast({FINE} as varchar), 'fineline_scans=' || cast({FINE} as varchar) from ({frequent_sql(FINE, FINELINES, "train")}) v
+  union all select 4, cast(upc as varchar), 'upc_lines=' || cast(upc as varchar) from ({frequent_sql("upc", UPCS, "train")}) v) u"""
 
 
-@over_lines("visit_feature_matrix", MATRIX_SQL.format("scans"))
+def whole_sql(source, labelled=True):
+    """The wide part of the rows, and the number and text of the vector entries: position:millionths, in order."""
+    names = [*SCALAR_SQL, *CONFIG.groups]
+    fixed = ", ".join(f"('{n}', {i})" for i, n in enumerate(names))
+    label = "max(trip_type) as trip_type, " if labelled else ""
+    return f"""select * from (with places as (select feature, feature_idx from ({VOCAB_SQL}) v union all select * from (values {fixed}) f(feature, feature_idx)),
+    wide_rows as (select visit_number, {label}{ALL_SCALARS_SQL}, {GROUP_SQL}, count(*) as n_lines from {source} where {DEPT} is not null group by 1),
+    fixed_rows as (select w.visit_number, f.i as feature_idx, f.v as value from wide_rows w,
+      lateral (select unnest(range({len(names)})) as i, unnest([{", ".join(f"cast({n} as double)" for n in names)}]) as v) f),
+    every as (
+      select * from fixed_rows
+      union all select e.visit_number, p.feature_idx, e.value from ({encoded_sql(source)}) e join places p on p.feature = e.feature),
+    texts as (
+      select visit_number, cast(count(*) as int) as n_entries,
+        string_agg(feature_idx || ':' || cast(floor(value * 1000000 + 0.5) as bigint), ',' order by feature_idx) as entries
+      from every where value <> 0 group by 1)
+    select w.*, coalesce(n_entries, 0) as n_entries, coalesce(entries, '') as entries from wide_rows w left join texts t on t.visit_number = w.visit_number) m"""
+
+
+def _whole(matrix):
+    """The rows with the entries of their vectors as text."""
+    positions, values = vector_parts()
+    parts = F.transform(F.arrays_zip(positions.alias("i"), values.alias("v")), lambda e: F.concat(e["i"], F.lit(":"), F.floor(e["v"] * 1_000_000 + 0.5)))
+    return matrix.withColumns({"n_entries": F.size(positions), "entries": F.array_join(parts, ",")}).drop("features")
+
+
+@over_lines("visit_feature_matrix", whole_sql("scans"))
 def visit_feature_matrix(lines):
-    """All visits with the vocabularies of the training visits; the wide part of the rows."""
-    return _wide(FeatureModel.fit(training_lines(lines), CONFIG).transform(lines))
+    """All visits with the vocabularies of the training visits, vectors included."""
+    return _whole(FeatureModel.fit(training_lines(lines), CONFIG).matrix(lines))
 
 
-@over_lines("prepare_train", MATRIX_SQL.format("train"))
+@over_lines("prepare_train", whole_sql("train"))
 def prepared_train(lines):
-    return _wide(prepare_train(training_lines(lines), CONFIG)[1])
+    return _whole(prepare_train(training_lines(lines), CONFIG)[1])
 
 
-@over_lines("prepare_test", MATRIX_SQL.format("test").replace("max(trip_type) as trip_type, ", ""))
+@over_lines("prepare_test", whole_sql("test", labelled=False))
 def prepared_test(lines):
     model = FeatureModel.fit(training_lines(lines), CONFIG)
-    return _wide(prepare_test(scoring_lines(lines).drop("trip_type"), model))
-
+    return _whole(prepare_test(scoring_lines(lines).drop("trip_type"), model))
 
-VOCAB_SQL = f"""select feature, row_number() over (order by place, value) + 12 as feature_idx from (
-  select 0 as place, d as value, 'dept_share=' || d as feature from (select distinct {DEPT} as d from train where {DEPT} is not null) t
-  union all select distinct 1, {MERGED}, 'dept_lines=' || {MERGED} from train where {DEPT} is not null
-  union all select 2, d, 'dept_scans=' || d from (select distinct {DEPT} as d from train where {DEPT} is not null) t
-  union all select 3, cast({FINE} as varchar), 'fineline_scans=' || cast({FINE} as varchar) from ({frequent_sql(FINE, FINELINES, "train")}) v
-  union all select 4, cast(upc as varchar), 'upc_lines=' || cast(upc as varchar) from ({frequent_sql("upc", UPCS, "train")}) v) u"""
 
 
 @register("vocab_persist", VOCAB_SQL)

@@ -177,7 +177,7 @@ prior as (
 def planted_matrices(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The full matrix with a label that the features explain: training and held-out visits."""
     labels = planted_labels(lines).withColumnRenamed("planted_label", "trip_type")
-    matrix = FeatureModel.fit(training_lines(lines), CONFIG).transform(lines.drop("trip_type"))
+    matrix = FeatureModel.fit(training_lines(lines), CONFIG).matrix(lines.drop("trip_type"))
     rows = materialize(matrix.select("visit_number", "features").join(labels, "visit_number"), "planted-matrix")
     return training_lines(rows), scoring_lines(rows)
 

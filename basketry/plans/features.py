@@ -25,7 +25,7 @@ from basketry.functions.columns import (
 from basketry.operators.clean import nonempty_lines
 from basketry.operators.joins import lookup_join
 from basketry.operators.ranking import with_position
-from basketry.session import materialize
+from basketry.session import fresh_path, materialize
 
 SCALARS = [
     "day_type",
@@ -40,31 +40,25 @@ BLOCKS = ["dept_share", "dept_lines", "dept_scans", "fineline_scans", "upc_lines
 UNUSED_GROUPS = ["electronics_visit"]  # computed but not part of the original matrix
 
 
-def sparse_vector(size: int, entries: Column) -> Column:
-    """A sparse ML vector from sorted (idx, v) structs.
-
-    Spark SQL reads a vector from JSON, which keeps the whole matrix free of Python and of dense rows.
-    """
-    parts = F.struct(
-        F.lit(0).alias("type"),
+def vector_struct(size: int, entries: Column) -> Column:
+    """The parts of a sparse ML vector from sorted (idx, v) structs, in the form in which vectors are stored."""
+    return F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
         F.lit(size).alias("size"),
         F.transform(entries, lambda e: e["idx"]).alias("indices"),
         F.transform(entries, lambda e: e["v"]).alias("values"),
     )
-    schema = T.StructType([T.StructField("features", VectorUDT())])
-    return F.from_json(F.to_json(F.struct(parts.alias("features"))), schema)["features"]
-
 
-def summed_entries(entries: Column) -> Column:
-    """Entries sorted by index; those with the same index (merged departments) are added."""
-    indices = F.array_distinct(F.transform(entries, lambda e: e["idx"]))
 
-    def total(i: Column) -> Column:
-        same = F.filter(entries, lambda e: e["idx"] == i)
-        return F.struct(i.alias("idx"), F.aggregate(same, F.lit(0.0), lambda acc, e: acc + e["v"]).alias("v"))
+def with_vectors(matrix: DataFrame, size: int, name: str) -> DataFrame:
+    """A written matrix with its entries as an ML vector column ``features``.
 
-    repeated = F.size(indices) < F.size(entries)
-    return F.array_sort(F.when(repeated, F.transform(indices, total)).otherwise(entries))
+    The parts of the vectors are written and read back as vectors: no Python, no dense rows, no text.
+    """
+    path = fresh_path(matrix.sparkSession, name)
+    matrix.withColumn("features", vector_struct(size, F.col("entries"))).write.parquet(path)
+    schema = T.StructType([*matrix.schema.fields, T.StructField("features", VectorUDT())])
+    return matrix.sparkSession.read.schema(schema).parquet(path)
 
 
 @dataclass
@@ -140,21 +134,23 @@ class FeatureModel:
         fixed = spark.createDataFrame(list(enumerate(self.fixed)), "feature_idx int, feature string")
         return fixed.unionByName(self.features.select("feature_idx", F.concat_ws("=", "block", "value").alias("feature")))
 
+    @property
+    def _merged(self) -> list[str]:
+        """Departments that are merged or merged into; their line counts are summed under the common name."""
+        return sorted({*self.config.merges, *self.config.merges.values()})
+
     def _slots(self) -> DataFrame:
         """Vector positions per (kind, value): a department has up to three, fed by the same rows."""
-        kind = F.substring_index("block", "_", 1).alias("kind")
+        own = (F.col("block") == "dept_lines") & F.col("value").isin(self._merged)
+        kind = F.when(own, "merged").otherwise(F.substring_index("block", "_", 1)).alias("kind")
         direct = self.features.select(kind, "value", "block", "feature_idx")
-        for source, target in self.config.merges.items():
-            line_count = (F.col("block") == "dept_lines") & (F.col("value") == target)
-            moved = self.features.filter(line_count).select(kind, F.lit(source).alias("value"), "block", "feature_idx")
-            direct = direct.unionByName(moved)
         slots = F.collect_list(F.struct(F.col("feature_idx").alias("idx"), "block"))
         return direct.groupBy("kind", "value").agg(slots.alias("slots"))
 
     # -- transforming ---------------------------------------------------------------------------------------
 
     def transform(self, lines: DataFrame) -> DataFrame:
-        """One row per non-empty visit: label (if the lines have one), scalars, group shares, features.
+        """One row per non-empty visit: label (if the lines have one), scalars, group shares, entries sorted by position.
 
         Lines are unpivoted to (visit, kind, value) and summed, which also counts the distinct values; a second
         aggregate per visit gathers everything. Two shuffles, both after a partial aggregate, and no join but the
@@ -162,8 +158,10 @@ class FeatureModel:
         """
         labelled = "trip_type" in lines.columns
         label = [F.max("trip_type").alias("trip_type")] if labelled else []
-        kinds = {"dept": DEPARTMENT, "fineline": FINELINE, "upc": "upc"}
-        keyed = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in kinds.items()])
+        kinds = {"dept": F.col(DEPARTMENT), "fineline": F.col(FINELINE), "upc": F.col("upc")}
+        if self.config.merges:
+            kinds["merged"] = F.when(F.col(DEPARTMENT).isin(self._merged), replace_by(DEPARTMENT, self.config.merges))
+        keyed = F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("string").alias("value")) for k, c in kinds.items()])
         base = [VISIT, "scan_count", weekend_flag().alias("day"), *(["trip_type"] if labelled else [])]
         unpivoted = (
             nonempty_lines(lines).select(*base, F.inline(keyed)).filter(F.col("value").isNotNull())
@@ -213,11 +211,13 @@ class FeatureModel:
                 e["idx"].alias("idx"), F.when(e["share"], e["v"] / F.col("n_lines")).otherwise(e["v"]).alias("v")
             ),
         )
-        encoded = summed_entries(encoded) if self.config.merges else F.array_sort(encoded)
-        nonzero = F.filter(F.concat(fixed, encoded), lambda e: e["v"] != 0)
+        nonzero = F.filter(F.concat(fixed, F.array_sort(encoded)), lambda e: e["v"] != 0)
         kept = [VISIT, *(["trip_type"] if labelled else []), *self.fixed, "n_lines"]
-        visits = visits.select(*kept, nonzero.alias("entries"))
-        return visits.withColumn("features", sparse_vector(self.size, F.col("entries")))
+        return visits.select(*kept, nonzero.alias("entries"))
+
+    def matrix(self, lines: DataFrame, name: str = "matrix") -> DataFrame:
+        """``transform`` written once, with the entries also as ML vectors."""
+        return with_vectors(self.transform(lines), self.size, name)
 
 
 def triples(matrix: DataFrame) -> DataFrame:

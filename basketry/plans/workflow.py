@@ -20,14 +20,13 @@ from basketry.operators.metrics import ensemble_mean
 from basketry.operators.stats import chi2_scores, least_important
 from basketry.plans.features import FeatureModel, triples
 from basketry.plans.scoring import final_predictions_of_models, predict
-from basketry.session import materialize
 from basketry.sources import files
 
 
 def prepare_train(lines: DataFrame, config: FeatureConfig | None = None) -> tuple[FeatureModel, DataFrame]:
     """Fits the vocabularies and builds the training matrix, written once for the many passes of a fit."""
     features = FeatureModel.fit(lines, config)
-    return features, materialize(features.transform(lines), "train-matrix")
+    return features, features.matrix(lines, "train-matrix")
 
 
 def prepare_test(lines: DataFrame, features: FeatureModel) -> DataFrame:
@@ -35,7 +34,7 @@ def prepare_test(lines: DataFrame, features: FeatureModel) -> DataFrame:
 
     Written once: every model reads the vectors again, and none should compute them again.
     """
-    return materialize(features.transform(lines), "test-matrix")
+    return features.matrix(lines, "test-matrix")
 
 
 def write_profiles(train: DataFrame, test: DataFrame, root: str) -> None:

@@ -40,8 +40,9 @@ def test_hand_table(hand, model):
 
 
 def test_vectors_hold_the_entries(hand, model):
-    matrix = model.transform(hand)
+    matrix = model.matrix(hand)
     assert same(triples(matrix), vector_triples(matrix))
+    assert same(triples(matrix), triples(model.transform(hand)))
     sizes = {v.features.size for v in matrix.select("features").collect()}
     assert sizes == {model.size} and model.names().count() == model.size
 
@@ -118,3 +119,40 @@ def test_registered_entries_hold_every_block_of_all_visits(spark):
     assert {"dept_share", "dept_lines", "dept_scans", "upc_lines"} <= blocks
     assert blocks == {r.feature.split("=")[0] for r in QUERIES["vocab_persist"](spark, SMALL).collect()}
     assert {r.visit_number for r in found} == {r.visit_number for r in QUERIES["visit_feature_matrix"](spark, SMALL).collect()}
+
+
+def test_a_visit_of_very_many_values(spark):
+    """Entries are gathered and sorted, so a visit's work grows with its values and not with their square."""
+    from time import monotonic
+
+    config = FeatureConfig(fineline_count=0, upc_count=0, merges={"HEALTH AND BEAUTY AIDS": "BEAUTY"})
+    merged = F.when(F.col("id") % 2 == 0, "BEAUTY").otherwise("HEALTH AND BEAUTY AIDS")
+    lines = spark.range(20_000).select(
+        F.lit(1).cast("long").alias("visit_number"), F.lit(3).alias("trip_type"), F.lit("Friday").alias("weekday"), F.col("id").alias("upc"),
+        F.lit(1).alias("scan_count"), merged.alias("department_description"), F.col("id").alias("fineline_number"),
+    )
+    model = FeatureModel.fit(lines, config)
+    start = monotonic()
+    row = model.matrix(lines).first()
+    assert monotonic() - start < 30
+    names = {r.feature: r.feature_idx for r in model.names().where("feature like 'dept_%'").collect()}
+    assert row.features.numNonzeros() > 40_000 and row.features[names["dept_lines=BEAUTY"]] == 20_000
+    assert "dept_lines=HEALTH AND BEAUTY AIDS" not in names and row.features[names["dept_scans=BEAUTY"]] == 10_000
+
+
+def test_flagship_reads_the_vocabulary(spark):
+    from conftest import SMALL
+
+    import __spark_entry__ as entry_points
+
+    rows = entry_points.entry(spark)
+    assert {"entries", "n_entries"} <= set(rows.columns)
+    assert rows.agg(F.min("n_entries")).first()[0] > 0
+    most = max(int(e.split(":")[0]) for r in rows.select("entries").collect() for e in r.entries.split(","))
+    assert most >= len(FeatureModel.fit(training_lines(entry_lines(spark, SMALL)), STAR_CONFIG).fixed)
+
+
+def entry_lines(spark, directory):
+    from basketry.sources.tables import star_scan_lines
+
+    return star_scan_lines(spark, directory)
