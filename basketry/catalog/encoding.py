@@ -8,7 +8,7 @@ from basketry.functions.columns import vector_parts
 from basketry.operators import clean, distances, encode, metrics, neighbors, sets, visits, vocabulary
 from basketry.operators.joins import join_blocks
 from basketry.plans.features import FeatureModel, triples, vector_triples
-from basketry.plans.workflow import prepare_test, prepare_train
+from basketry.plans.workflow import chi2_of_blocks, prepare_test, prepare_train
 from basketry.session import fresh_path
 from basketry.sources.tables import star_scan_lines, table, scoring_lines, training_lines
 
@@ -214,6 +214,28 @@ def visit_feature_entries(lines):
     return named(vector_triples(model.matrix(lines)), model)
 
 
+@over_lines(
+    "chi2_blocks",
+    f"""select * from (with x as (
+      select e.feature, l.trip_type, e.value from ({matrix_sql("train")}) e join (select visit_number, max(trip_type) as trip_type from train where {DEPT} is not null group by 1) l
+      on l.visit_number = e.visit_number
+      where regexp_matches(e.feature, '^(dept_share|dept_lines|upc_lines)=') or e.feature in ({", ".join(f"'{g}'" for g in CONFIG.groups)})),
+    cp as (select trip_type, count(*) / sum(count(*)) over () as share from (
+      select visit_number, max(trip_type) as trip_type from train where {DEPT} is not null group by 1) v group by 1),
+    fs as (select feature, sum(value) as total from x group by 1),
+    ob as (select feature, trip_type, sum(value) as o from x group by 1, 2),
+    s as (
+      select fs.feature, sum(pow(coalesce(o, 0) - share * total, 2) / (share * total)) as chi2, count(*) - 1 as degrees
+      from fs cross join cp left join ob on ob.feature = fs.feature and ob.trip_type = cp.trip_type group by 1)
+    select feature, round(chi2, 4) as chi2, round(list_sum(list_transform(generate_series(0, degrees // 2 - 1),
+      lambda i: exp(-chi2 / 2 + i * ln(chi2 / 2) - lgamma(i + 1)))), 4) as p_value from s) c""",
+)
+def chi2_blocks(lines):
+    """Scores and p-values of all features of the training matrix that cannot be negative, with degrees of freedom from the data."""
+    model, matrix = prepare_train(training_lines(lines), CONFIG)
+    return rounded(chi2_of_blocks(matrix, model), "chi2", "p_value", places=4)
+
+
 VOCAB_SQL = f"""select feature, row_number() over (order by place, value) + 12 as feature_idx from (
   select 0 as place, d as value, 'dept_share=' || d as feature from (select distinct {DEPT} as d from train where {DEPT} is not null) t
   union all select distinct 1, {MERGED}, 'dept_lines=' || {MERGED} from train where {DEPT} is not null

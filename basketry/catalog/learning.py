@@ -25,7 +25,7 @@ from basketry.operators.joins import join_blocks
 from basketry.operators.metrics import ensemble_mean, multiclass_log_loss, prior_log_loss
 from basketry.plans.features import FeatureModel
 from basketry.plans.scoring import predict
-from basketry.plans.workflow import begin_test, begin_train, ensemble, prepare_test, prepare_train
+from basketry.plans.workflow import begin_test, begin_train, ensemble, load_run, prepare_test, prepare_train
 from basketry.session import fresh_path, materialize
 from basketry.sources.tables import planted_labels, scoring_lines, star_scan_lines, training_lines
 
@@ -398,3 +398,21 @@ def train_models(lines):
     invalid = F.count_if(~F.coalesce(F.col("p").between(0, 1), F.lit(False)))
     counted = [s.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"), invalid.alias("n_invalid")) for s in scored]
     return reduce(DataFrame.unionByName, counted)
+
+
+@register("saved_run", f"select * from (with {PLANTED_SQL} select cast(count(*) as bigint) as n_rows, 0 as n_different from planted cross join (select distinct label from planted where visit_number % 10 <> 0) c where visit_number % 10 = 0) r")
+def saved_run(spark, directory):
+    """A blended run of three kinds, saved, loaded by its path, and its predictions of the held-out visits compared with those before."""
+    lines = star_scan_lines(spark, directory)
+    labels = planted_labels(lines).withColumnRenamed("planted_label", "trip_type")
+    train = training_lines(lines).drop("trip_type").join(labels, "visit_number")
+    base = {"ET": Params(n_est=5, max_depth=4), "KNN": Params(n_est=5), "xGB": replace(JOINT, n_est=2)}
+    trained = begin_train(train, "xGB", replace(JOINT, n_est=3), config=CONFIG, blend_base=base, save_to=(path := fresh_path(spark, "run")))
+    loaded = load_run(spark, path)
+    test = scoring_lines(lines).drop("trip_type")
+
+    def scored(run):
+        return predict(run.models[0], run.blend.transform(prepare_test(test, run.features)))
+
+    both = scored(trained).join(scored(loaded).withColumnRenamed("p", "q"), ["visit_number", "trip_type"])
+    return both.agg(F.count("*").alias("n_rows"), F.count_if(F.abs(F.col("p") - F.col("q")) > 1e-12).cast("int").alias("n_different"))

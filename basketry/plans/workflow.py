@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.config import FeatureConfig
 from basketry.models import evaluation
 from basketry.models.blending import Blend, fit_blend
 from basketry.models.classifiers import Params, bagged_models
-from basketry.models.persistence import save_model
+from basketry.models.persistence import load_model, save_model
 from basketry.models.softmax_boosting import SoftmaxBoostedModel
 from basketry.operators import profile, ranking, sets
 from basketry.operators.distances import line_distances
+from basketry.operators.joins import lookup_join
+from basketry.operators.labels import class_values
 from basketry.operators.metrics import ensemble_mean
-from basketry.operators.stats import chi2_scores, least_important
-from basketry.plans.features import FeatureModel, triples
+from basketry.operators.stats import chi2_of_observed, chi2_pvalues, least_important
+from basketry.plans.features import FeatureModel
 from basketry.plans.scoring import final_predictions_of_models, predict
 from basketry.sources import files
 
@@ -69,12 +73,17 @@ class Trained:
     reports: dict = field(default_factory=dict)
 
 
-def nonnegative_triples(matrix: DataFrame, features: FeatureModel) -> DataFrame:
-    """Entries that can be scored against the class: shares and line counts, not net scans."""
-    scored = features.names().filter(
-        F.col("feature").rlike("^(dept_share|dept_lines|upc_lines)=") | F.col("feature").isin(features.groups)
-    )
-    return triples(matrix).join(F.broadcast(scored), "feature_idx").select("visit_number", "feature", "value")
+def chi2_of_blocks(matrix: DataFrame, features: FeatureModel) -> DataFrame:
+    """feature, chi2, p_value of everything that cannot be negative: group and department shares, line counts per department and product.
+
+    The label stands in the matrix row, so the entries need no join with it; names are joined to one row per feature.
+    """
+    known = features.names().filter(F.col("feature").rlike("^(dept_share|dept_lines|upc_lines)=") | F.col("feature").isin(features.groups))
+    labelled = matrix.where(F.col("trip_type").isNotNull())
+    entries = labelled.select("trip_type", F.inline("entries")).select(F.col("idx").alias("feature_idx"), "trip_type", F.col("v").alias("value"))
+    observed = lookup_join(entries.groupBy("feature_idx", "trip_type").agg(F.sum("value").alias("o")), known, ["feature_idx"])
+    scores = chi2_of_observed(observed.select("feature", "trip_type", "o"), labelled.select("trip_type"))
+    return chi2_pvalues(scores, len(class_values(labelled)))
 
 
 def feature_names(trained: Trained) -> DataFrame:
@@ -108,7 +117,7 @@ def begin_train(
     features, matrix = prepare_train(train, config)
     done = {}
     if reports.chi2:
-        done["chi2"] = chi2_scores(nonnegative_triples(matrix, features), matrix.select("visit_number", "trip_type"))
+        done["chi2"] = chi2_of_blocks(matrix, features)
     if reports.distances:
         done["distances"] = line_distances(train)
     fitted, held = evaluation.stratified_split(matrix, holdout_share) if holdout_share else (matrix, None)
@@ -130,8 +139,7 @@ def begin_train(
         done["best_rounds"] = [(m.best_round, m.best_score) for m in boosted]
     trained = Trained(features, models, blend, done)
     if save_to:
-        for i, model in enumerate(models):
-            save_model(spark, model, f"{save_to}/{i}")
+        save_run(trained, save_to)
     if reports.importance and kind != "KNN":
         tables = [evaluation.feature_importance(m, feature_names(trained)) for m in models]
         done["importance"] = tables
@@ -141,8 +149,41 @@ def begin_train(
     return trained
 
 
-def begin_test(trained: Trained, test: DataFrame, root: str) -> None:
-    """Predict every test visit with every model, and write one folder per model."""
+def save_run(trained: Trained, path: str) -> None:
+    """Everything that scoring needs: vocabulary, blend and all models, each in its folder, and then the manifest that lists them.
+
+    The manifest is written last, in one commit: a run without it is not whole and is not read. An existing run is not replaced.
+    """
+    spark = trained.features.features.sparkSession
+    trained.features.save(f"{path}/features")
+    blend = trained.blend.models if trained.blend else []
+    for name, models in (("blend", blend), ("models", trained.models)):
+        for i, model in enumerate(models):
+            save_model(spark, model, f"{path}/{name}/{i}")
+    about = {"version": 1, "blend": len(blend) if trained.blend else None, "models": len(trained.models), "n_encoded": trained.features.n_encoded}
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def load_run(spark: SparkSession, path: str) -> Trained:
+    """A saved run, ready for ``begin_test``."""
+    try:
+        rows = spark.read.schema("value string").parquet(f"{path}/manifest").collect()
+    except AnalysisException as missing:
+        raise ValueError(f"{path} holds no whole run") from missing
+    if len(rows) != 1:
+        raise ValueError(f"{path} holds no whole run")
+    about = json.loads(rows[0]["value"])
+    features = FeatureModel.load(spark, f"{path}/features")
+    if features.n_encoded != about["n_encoded"]:
+        raise ValueError(f"the vocabulary of {path} has {features.n_encoded} entries, its manifest says {about['n_encoded']}")
+    blend = None if about["blend"] is None else Blend([load_model(spark, f"{path}/blend/{i}") for i in range(about["blend"])])
+    return Trained(features, [load_model(spark, f"{path}/models/{i}") for i in range(about["models"])], blend)
+
+
+def begin_test(trained: Trained | str, test: DataFrame, root: str) -> None:
+    """Predict every test visit with every model, and write one folder per model. A saved run is given by its path."""
+    if isinstance(trained, str):
+        trained = load_run(test.sparkSession, trained)
     matrix = prepare_test(test, trained.features)
     if trained.blend:
         matrix = trained.blend.transform(matrix)
