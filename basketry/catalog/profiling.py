@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from basketry.catalog.base import CONFIG, EXCLUDED, FINELINES, over_lines, register, rounded
 from basketry.operators import clean, profile, ranking, sets, vocabulary
+from basketry.plans.workflow import write_profiles
 from basketry.session import fresh_path
 from basketry.sources import files
 from basketry.sources.tables import star_scan_lines, scoring_lines, training_lines
@@ -221,6 +222,62 @@ def diff_sink(spark, directory):
     return spark.read.text(path)
 
 
+PLANTED_TEST = f"(select * from test where {FINE} is null or {FINE} % 7 <> 0)"  # every seventh product line is in the training lines only
+
+
+def planted_test(lines):
+    return scoring_lines(lines).where(F.col(FINE).isNull() | (F.col(FINE) % 7 != 0))
+
+
+FINELINE_DIFF_SQL = f"select {FINE} from train where {FINE} is not null except select {FINE} from {PLANTED_TEST} t where {FINE} is not null"
+
+
+@over_lines("fineline_train_only", FINELINE_DIFF_SQL)
+def fineline_train_only(lines):
+    """Product lines that only the training lines have, with some planted."""
+    return sets.not_in(training_lines(lines), planted_test(lines), FINE)
+
+
+@over_lines(
+    "fineline_vocab_shared",
+    f"""select {FINE}, count(*) as n from train
+    where {DEPT} is not null and {DEPT} <> '{EXCLUDED}' and {FINE} not in ({FINELINE_DIFF_SQL}) and {FINE} is not null group by 1 having count(*) > {FINELINES}""",
+)
+def fineline_vocab_shared(lines):
+    """The vocabulary without the planted product lines."""
+    return vocabulary.finelines_shared_with_test(training_lines(lines), planted_test(lines), FINELINES, EXCLUDED)
+
+
+@register(
+    "profile_files",
+    f"""select 'dept_fineline_count' as file, {DEPT} as key, count(distinct {FINE}) + {_missing(FINE)} as n from train where {DEPT} is not null group by {DEPT}
+    union all select 'type_departments', cast(trip_type as varchar), count(distinct {DEPT}) + {_missing(DEPT)} from train where trip_type is not null group by trip_type
+    union all select 'dept_types', {DEPT}, count(distinct trip_type) + {_missing("trip_type")} from train where {DEPT} is not null group by {DEPT}
+    union all select 'upc_counts', cast(upc as varchar), count(*) from train where upc is not null group by upc
+    union all select 'upc_sums', cast(visit_number as varchar), count(*) from train where upc in (select upc from train where upc is not null group by upc having count(*) > 500) group by visit_number
+    union all select 'finelines_not_in_test', cast({FINE} as varchar), 1 from ({FINELINE_DIFF_SQL}) d""",
+)
+def profile_files(spark, directory):
+    """All files of the profiling run, written and read back: a row per file and key."""
+    lines, root = star_scan_lines(spark, directory), fresh_path(spark, "profiles")
+    write_profiles(training_lines(lines), planted_test(lines), root)
+
+    def read(file, schema, key, n):
+        rows = spark.read.schema(schema).option("header", True).csv(f"{root}/{file}")
+        return rows.select(F.lit(file).alias("file"), F.col(key).cast("string").alias("key"), n.cast("bigint").alias("n"))
+
+    packed = "n_members bigint, members string, has_missing int"
+    sums = spark.read.schema("visit_number bigint, upc bigint, n_lines bigint").option("header", True).csv(f"{root}/upc_sums")
+    return (
+        read("dept_fineline_count", f"{DEPT} string, n_members bigint", DEPT, F.col("n_members"))
+        .unionByName(read("type_departments", f"trip_type int, {packed}", "trip_type", F.col("n_members")))
+        .unionByName(read("dept_types", f"{DEPT} string, {packed}", DEPT, F.col("n_members")))
+        .unionByName(read("upc_counts", "upc bigint, n bigint", "upc", F.col("n")))
+        .unionByName(sums.groupBy(F.lit("upc_sums").alias("file"), F.col("visit_number").cast("string").alias("key")).agg(F.count("*").alias("n")))
+        .unionByName(spark.read.text(f"{root}/finelines_not_in_test").select(F.lit("finelines_not_in_test").alias("file"), F.col("value").alias("key"), F.lit(1).cast("bigint").alias("n")))
+    )
+
+
 @over_lines(
     "merged_department_counts",
     f"""select case when {DEPT} = 'Brand#24' then 'Brand#25' else {DEPT} end as {DEPT}, count(*) as n from ne group by 1""",

@@ -53,6 +53,7 @@ class Rows:
         self.idx = np.concatenate([np.zeros(0, np.int64), *(np.asarray(i, np.int64) for i in idx)])
         self.val = np.concatenate([np.zeros(0), *(np.asarray(v, float) for v in val)])
         self.squares = np.bincount(self.row, self.val**2, self.n)
+        self.whole = bool((self.val == np.floor(self.val)).all()) and self.squares.max(initial=0) < 2**48  # sums of products are exact
 
     def dense(self, columns: np.ndarray) -> np.ndarray:
         """The rows over some columns, given in ascending order."""
@@ -111,10 +112,11 @@ def _best(queries: pd.DataFrame, train: pd.DataFrame, k: int) -> pd.DataFrame:
         some = Rows(queries["idx"].iloc[at : at + 256], queries["val"].iloc[at : at + 256])
         # A matrix product gives all distances up to rounding. Whatever the rounding could have put among the first k is measured again exactly.
         rough = some.squares[:, None] + known.squares[None, :] - 2.0 * products(some, known)
-        rounding = 1e-13 * (64 + max(np.diff(some.first).max(), np.diff(known.first).max())) * (some.squares + known.squares.max())
+        whole = some.whole and known.whole
+        rounding = 0.0 if whole else 1e-13 * (64 + max(np.diff(some.first).max(), np.diff(known.first).max())) * (some.squares + known.squares.max())
         limit = np.partition(rough, kept - 1, axis=1)[:, kept - 1] + 2 * rounding
         rows, cols = np.nonzero(rough <= limit[:, None])
-        distance = exact_distances(some, known, rows, cols)
+        distance = rough[rows, cols] if whole else exact_distances(some, known, rows, cols)
         order = np.lexsort((cols, distance, rows))  # columns are in id order
         rows, cols, distance = rows[order], cols[order], distance[order]
         best = np.arange(len(rows)) - np.searchsorted(rows, np.arange(some.n))[rows] < kept

@@ -62,6 +62,7 @@ class Reports:
     importance: bool = False
     cross_validation: bool = False
     search: bool = False
+    profiles: str | None = None  # a folder for the profiling files
     curve: list[int] = field(default_factory=list)
 
 
@@ -107,12 +108,16 @@ def begin_train(
     with_blend: bool = True,
     save_to: str | None = None,
     reports: Reports | None = None,
+    test: DataFrame | None = None,
 ) -> Trained:
     """Train ``n_models`` models of one kind; their training loss and, with a holdout, their loss on it are reported.
 
-    Boosted kinds follow the holdout round by round; xGB stops by it and reports its best round.
+    Boosted kinds follow the holdout round by round; xGB stops by it and reports its best round. The profiling files compare
+    with the ``test`` lines, if there are any.
     """
     params, reports = params or Params(), reports or Reports()
+    if reports.profiles:
+        write_profiles(train, train.limit(0) if test is None else test, reports.profiles)
     spark = train.sparkSession
     features, matrix = prepare_train(train, config)
     done = {}

@@ -14,10 +14,11 @@ from basketry.sources.tables import STAR_CONFIG, scoring_lines, training_lines
 
 def test_full_run(spark, small_lines):
     forest = Params(n_est=3, max_depth=4)
-    path = fresh_path(spark, "saved")
+    path, profiles = fresh_path(spark, "saved"), fresh_path(spark, "profiles")
     trained = begin_train(
         training_lines(small_lines), "RF", forest, n_models=2, config=STAR_CONFIG, blend_base={"RF": forest, "ET": forest},
-        save_to=path, reports=Reports(chi2=True, distances=True, importance=True, cross_validation=True, curve=[1, 2]),
+        save_to=path, reports=Reports(chi2=True, distances=True, importance=True, cross_validation=True, curve=[1, 2], profiles=profiles),
+        test=scoring_lines(small_lines),
     )
     done = trained.reports
     n_classes = len(trained.models[0].classes)
@@ -30,6 +31,8 @@ def test_full_run(spark, small_lines):
     assert isfinite(done["cross_validation"]) and done["curve"].count() == 4
     assert {r.model for r in done["losses"].collect()} == {"RF-0", "RF-1"}
 
+    assert spark.read.option("header", True).csv(f"{profiles}/type_departments").count() == 15
+
     test = scoring_lines(small_lines).drop("trip_type")
     root, target = fresh_path(spark, "predictions"), fresh_path(spark, "ensemble")
     begin_test(trained, test, root)
