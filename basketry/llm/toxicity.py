@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +73,10 @@ class Model:
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 7) -> Model:
     """Mini-batches of both kinds of rows under the non-negative risk."""
     random, weights, bias = np.random.default_rng(seed), np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))
-    known = np.bincount(np.concatenate(positive), minlength=BUCKETS) >= LEAST_ROWS
+    counts = np.zeros(BUCKETS, np.int64)
+    for r in positive:
+        counts[r] += 1  # the buckets of a row are different
+    known = counts >= LEAST_ROWS
     positive, unlabelled = ([r[known[r]] for r in rows] for rows in (positive, unlabelled))
     seen, seen_bias = np.full(BUCKETS, 1e-4), 1e-4
 
@@ -115,8 +119,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     chosen = marks.where("toxic").orderBy(rank, "doc_id").limit(MAX_POSITIVE).select("doc_id", F.lit(True).alias("positive"))
     others = texts.select("doc_id").orderBy(rank, "doc_id").limit(MAX_UNLABELLED)
     wanted = chosen.union(others.select("doc_id", F.lit(False)))
-    rows = _hashed(texts.join(wanted, "doc_id").orderBy("doc_id").select("positive", "text")).toPandas()
-    sides = [[np.asarray(w, np.int64) for w, p in zip(rows["words"], rows["positive"], strict=True) if p == side] for side in (True, False)]
+    rows = _hashed(texts.join(wanted, "doc_id").orderBy("doc_id").select("positive", "text")).toArrow()
+    positive = rows["positive"].to_numpy()
+    words = [chunk.values.to_numpy()[a:b] for chunk in rows["words"].chunks for a, b in pairwise(chunk.offsets.to_numpy())]  # views of flat numbers
+    sides = [[w for w, p in zip(words, positive, strict=True) if p == side] for side in (True, False)]
     if not sides[0] or not sides[1]:
         return None
     return fit(*sides, counted["toxic"] / counted["n"])
