@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from ipaddress import IPv6Address
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 WRITTEN_AT = re.compile(r"\s?(?:\(\s?at\s?\)|\[\s?at\s?\]|\{\s?at\s?\}|\sat\s)\s?", re.I)
 WRITTEN_HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:\s?(?:\(\s?dot\s?\)|\[\s?dot\s?\]|\{\s?dot\s?\}|\sdot\s|\.)\s?[A-Za-z]{2,24})+", re.I)
-IPV6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
+AT_WORD = re.compile(r"[\s(\[{]at[\s)\]}]", re.I)  # part of everything that WRITTEN_AT finds
+IPV6 = re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Fa-f:.])")
 LOOSE_PHONE = re.compile(r"[0-9]{2,5}\)?(?:[ ./-][0-9]{2,4}){2,4}(?![0-9])")
 
 # Gazetteers and context words.
@@ -100,8 +103,25 @@ def _from_runs(pattern: re.Pattern, text: str, runs: list[int]) -> Iterator[tupl
             yield start, end
 
 
+def _part(digits: str) -> int:
+    """The value of a part of an address; 256 stands for everything that is longer than three digits after its zeros."""
+    digits = digits.lstrip("0")
+    return int(digits or 0) if len(digits) <= 3 else 256
+
+
 def _small(part: str) -> bool:
-    return len(part := part.lstrip("0")) <= 3 and int(part or 0) <= 255
+    return _part(part) <= 255
+
+
+def is_ipv6(span: str) -> bool:
+    """Eight groups, or fewer around one ::, of which two at least are written."""
+    if sum(map(bool, span.split(":"))) < 2:
+        return False
+    try:
+        IPv6Address(span)
+    except ValueError:
+        return False
+    return True
 
 
 def base_spans(text: str) -> list[list[tuple[int, int]]]:
@@ -130,16 +150,15 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 def loose_spans(text: str) -> list[list[tuple[int, int]]]:
     """Spans of the looser forms, a list for each kind."""
     out: list[list[tuple[int, int]]] = [[], [], [], []]
-    low = text.lower()
-    if "(at" in low or "[at" in low or "{at" in low or " dot " in low:
+    if AT_WORD.search(text):
         for m in WRITTEN_AT.finditer(text):
             start = m.start()
-            while start > 0 and m.start() - start < 64 and text[start - 1] in LOCAL:
+            while start > 0 and text[start - 1] in LOCAL:
                 start -= 1
             if start < m.start() and (host := WRITTEN_HOST.match(text, m.end())):
                 out[0].append((start, host.end()))
-    if text.count(":") >= 7:
-        out[1] = [m.span() for m in IPV6.finditer(text)]
+    if text.count(":") >= 2:
+        out[1] = [m.span() for m in IPV6.finditer(text) if is_ipv6(m[0])]
     if runs := _runs(text):
         out[2] = [(a, b) for a, b in _from_runs(CARD, text, runs) if 13 <= b - a <= 19 and 13 <= len(d := only_digits(text[a:b])) <= 15 and luhn(d)]
         out[3] = [(a, b) for a, b in _from_runs(LOOSE_PHONE, text, runs) if 9 <= len(only_digits(text[a:b])) <= 12 and not (a and text[a - 1] in "+.-/")]
@@ -154,7 +173,7 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> list[int]:
     if name == "email":
         good, known = len(span) <= 254 and ".." not in span, re.split(r"\W+", span.lower())[-1] in DOMAINS
     elif name == "ip":
-        good, known = base or span.count(":") == 7, not base or 0 < int(digits[:3] and span.split(".")[0]) < 224
+        good, known = True, not base or 0 < _part(span.split(".")[0]) < 224
     elif name == "card":
         good, known = luhn(digits), digits[:1] in ("3", "4", "5", "6")
     else:
@@ -274,11 +293,20 @@ def choose(found: list[dict], weights: dict[int, np.ndarray], threshold: float =
     loose = [c for c in found if not c["base"]]
     chosen = list(base)
     if loose:
-        taken = sorted((a, b) for _, a, b in base)
+        starts, ends = [], []  # the stretches that base spans cover, apart from one another
+        for a, b in sorted((a, b) for _, a, b in base):
+            if ends and a < ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a)
+                ends.append(b)
+        reach = 0  # loose spans are taken by their start, so the last one taken reaches furthest
         for c in sorted(loose, key=lambda c: (c["first"], -c["last"], c["kind"])):
-            score = 1 / (1 + np.exp(-(inputs(np.array([c["code"]])) @ weights[c["kind"]])[0]))
-            if score >= threshold and not any(a < c["last"] and c["first"] < b for a, b in taken):
-                taken.append((c["first"], c["last"]))
+            before = bisect_left(starts, c["last"]) - 1
+            if c["first"] < reach or (before >= 0 and c["first"] < ends[before]):
+                continue
+            if 1 / (1 + np.exp(-(inputs(np.array([c["code"]])) @ weights[c["kind"]])[0])) >= threshold:
+                reach = c["last"]
                 chosen.append((c["kind"], c["first"], c["last"]))
     return base, sorted(chosen)
 
