@@ -31,7 +31,7 @@ from basketry.sources.tables import planted_labels, scoring_lines, star_scan_lin
 
 FOREST = Params(n_est=8, max_depth=5, parallelism=8)
 BOOST = Params(n_est=2, max_depth=3, parallelism=8)
-ROUNDS = Params(n_est=20, max_depth=4, parallelism=8)
+ROUNDS = Params(n_est=10, max_depth=4, parallelism=8)
 
 PREDICTED_SQL = """select v.visit_number, c.trip_type, 1 as p_in_range, cast(1 as double) as p_sum
 from (select distinct visit_number from test where department_description is not null) v

@@ -99,10 +99,11 @@ def test_gamma_prunes_and_leaf_steps_are_bounded(spark):
 def test_nodes_beyond_one_pass_and_many_tasks_give_the_same_trees(spark, monkeypatch):
     x, y = made(90, noise=0.1)
     train = table(spark, x, y)
-    whole = fit_softmax(train, NEWTON)
+    growth = replace(NEWTON, rounds=1, depth=2)
+    whole = fit_softmax(train, growth)
     monkeypatch.setattr(boosting, "CELLS", 1)
     monkeypatch.setattr(boosting, "LANES", 2)
-    apart = fit_softmax(train, NEWTON)
+    apart = fit_softmax(train, growth)
     for a, b in zip(whole.trees, apart.trees, strict=True):
         assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and np.allclose(a.weight, b.weight)
 
