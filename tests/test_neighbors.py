@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.operators import neighbors
-from basketry.operators.neighbors import Rows, approximate_neighbours, as_sparse, neighbour_join, recall
+from basketry.operators.neighbors import Rows, approximate_neighbours, as_sparse, nearest_neighbours, neighbour_join, recall
 
 
 def frames(spark, train, queries):
@@ -51,6 +51,13 @@ def test_equals_brute_force_over_cells_and_blocks(spark, kind):
     assert listed(joined.neighbours.collect()) == brute(train, queries, 9)
 
 
+def test_one_block_of_training_rows_gives_the_same(spark):
+    train, queries = np.random.default_rng(3).normal(size=(200, 5)), np.random.default_rng(4).normal(size=(50, 5))
+    t, q = frames(spark, train, queries)
+    assert listed(nearest_neighbours(t, q, 7).collect()) == brute(train, queries, 7)
+    assert nearest_neighbours(t.limit(0), q, 7).count() == nearest_neighbours(t, q.limit(0), 7).count() == 0
+
+
 def test_prunes_most_cells_of_clustered_rows(spark):
     train, queries = clustered(600, 1), clustered(80, 2)
     t, q = frames(spark, train, queries)
