@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.tables import stored
+from basketry.llm.tables import discard, stored
 
 #: A bucket of at most this many nodes may write its pairs; a larger one goes on by centers.
 SMALL_BUCKET = 16
@@ -38,7 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = stored(large, "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        earlier, edges = edges, stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        discard(earlier, large)
         before, state = state, _state(edges)
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

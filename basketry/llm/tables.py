@@ -23,3 +23,12 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts the lineage and survives lost executors."""
     return materialize(df, f"llm-{name}")
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote; nothing may read them afterwards."""
+    for table in tables:
+        for path in sorted({name.rsplit("/", 1)[0] for name in table.inputFiles() if "/basketry/llm-" in name}):
+            jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
