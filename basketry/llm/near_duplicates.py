@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -103,13 +104,17 @@ def signature_rows(nodes: pa.Array, sampled: np.ndarray, bands: int, rows: int)
     return pa.RecordBatch.from_arrays([nodes, lists, pa.array(sketches, pa.binary())], ["node", "keys", "sketch"])
 
 
+@cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Quantiles of Gamma(2, 1), and their logarithms: the distribution of -ln(u1 * u2)."""
+    """Quantiles of Gamma(2, 1), and their logarithms: the distribution of -ln(u1 * u2).
+
+    Single precision is enough to draw by, and keeps the tables in the processor's cache.
+    """
     p = (np.arange(QUANTILES) + 0.5) / QUANTILES
     x = np.sqrt(2 * p) + 0.1
     for _ in range(60):  # Newton on 1 - (1 + x) exp(-x) = p
         x = np.maximum(x - (1 - (1 + x) * np.exp(-x) - p) / np.maximum(x * np.exp(-x), 1e-12), 1e-9)
-    return x, np.log(x)
+    return x.astype(np.float32), np.log(x).astype(np.float32)
 
 
 def samples(owner: np.ndarray, grams: np.ndarray, weight: np.ndarray, n_samples: int) -> np.ndarray:
@@ -124,13 +129,13 @@ def samples(owner: np.ndarray, grams: np.ndarray, weight: np.ndarray, n_samples:
     out = np.zeros((len(starts), n_samples), np.uint64)
     if not len(starts):
         return out
-    logs, low = np.log(weight), grams & U(0xFFFFFFFF)
+    logs, low = np.log(weight).astype(np.float32), grams & U(0xFFFFFFFF)
     for k in range(n_samples):
         drawn = vectors.mix(grams + U(int(vectors.BASE) * (k + 1) % (1 << 64)))
         r = gamma[(drawn & U(0xFFFF)).astype(np.int64)]
-        beta = ((drawn >> U(16)) & U(0xFFFF)).astype(np.float64) / 65536
+        beta = ((drawn >> U(16)) & U(0xFFFF)).astype(np.float32) / np.float32(65536)
         score = log_gamma[(drawn >> U(32) & U(0xFFFF)).astype(np.int64)] - r * (np.floor(logs / r + beta) - beta) - r
-        bits = score.astype(np.float32).view(np.uint32)
+        bits = score.view(np.uint32)
         rising = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31)).astype(np.uint64)
         out[:, k] = np.minimum.reduceat(rising << U(32) | low, starts)
     return out
