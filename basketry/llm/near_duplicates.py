@@ -187,7 +187,8 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row per input row: doc_id, class_id (the smallest doc_id of its class)."""
     rows = _nodes(docs)
     roots = _roots(docs, similar)
-    ids = rows.select("doc_id", "node", (F.length(F.translate("text", " \t\n\x0b\f\r", "")) > 0).alias("solid"))
+    # written once without the texts, which three joins would otherwise read again
+    ids = stored(rows.select("doc_id", "node", (F.length(F.translate("text", " \t\n\x0b\f\r", "")) > 0).alias("solid")), "ids")
     first = ids.where("solid").groupBy("node").agg(F.min("doc_id").alias("first"))
     named = first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("first").alias("class_id"))
