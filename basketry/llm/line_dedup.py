@@ -29,7 +29,7 @@ from basketry.llm.tables import id_and_text, stored
 GRAM = 5
 SIMILAR = 0.8
 BANDS, ROWS = 9, 4
-#: Pairs whose sketches agree in less go unjudged: of pairs at 0.8 that is about one in 1,000.
+#: Pairs whose sketches agree in less go unjudged: of pairs at 0.8 that is 0.0002.
 LEAST_SKETCH = 0.55
 MIN_CHARS = 32
 ALL_LINES = 1

@@ -32,7 +32,7 @@ from basketry.llm.tables import id_and_text, stored
 WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 10, 4
-#: Pairs whose sketches agree in less go unjudged: of pairs at 0.8 that is about one in 800.
+#: Pairs whose sketches agree in less go unjudged: of pairs at 0.8 that is 0.0010.
 LEAST_SKETCH = 0.6
 RARE = 0.001
 IDF_SPAN = 0.5
