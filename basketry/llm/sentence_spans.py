@@ -10,18 +10,24 @@ kinds of spans, each with a 128-bit digest:
   A repeat that is set in mid-sentence, or lies in a text without sentence ends, has its cuts at the same words but for
   ``WINDOW`` at its ends: from ``WORDS + 3 * WINDOW`` words on it is found, and ``WINDOW`` words at each end may stay.
 
-All spans meet by digest; the one at the smallest (doc_id, word) is the first, and every word that another copy covers is
-removed. Spans are judged on the input, not on what is left. ``n_removed`` counts the sentences of which nothing is left,
-``n_spans`` the removed runs of words, also those within a sentence.
+Only what can repeat is digested. Every span holds a mark that its content alone decides: of each ``WORDS`` words in a row the
+smallest hash of ``GRAM`` neighbouring words, or, for a shorter run of sentences, a hash of its words. Marks are counted over all
+texts; a span whose mark occurs once cannot repeat and goes no further, so nothing is lost.
 
-Null and empty texts have no sentences. Null ids come last. Rows that repeat an id are told apart by a digest of their
+Equal texts are told by two 64-bit hashes. The row with the smallest doc_id stands for them; the other copies lose all their
+spans without being digested. Spans of different texts meet by digest; the one at the smallest (doc_id, word) is the first, and
+every word that another copy covers is removed. Spans are judged on the input, not on what is left. ``n_removed`` counts the
+sentences of which nothing is left, ``n_spans`` the removed runs of words, also those within a sentence.
+
+Null and empty texts have no sentences. Null ids come last. Rows that repeat an id are told apart by a hash of their
 text; fully equal rows are treated alike and both keep the first spans. An empty table gives no rows. Further columns
-are ignored.
+are ignored. A very long text is read by one task, which needs some 100 bytes per word.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -31,11 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm import vectors
-from basketry.llm.tables import id_and_text, stored
+from basketry.llm.tables import discard, id_and_text, stored
 
 SPAN = 3
 WORDS = 25
 WINDOW = 8
+GRAM = 8
 WORD = re.compile(r"\S+")
 #: A task keeps the digests of at most this many words.
 KNOWN_WORDS = 1 << 18
@@ -84,90 +91,199 @@ def word_runs(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one // (n + 1), one % (n + 1)
 
 
-def text_spans(text: str, span: int, known: dict[str, bytes]) -> tuple[list[int], list[int], list[bytes]]:
-    """First word, number of words and digest of every span of a text; ``known`` holds digests of words."""
+def _words(text: str, at: list[tuple[int, int]], known: dict[str, bytes]) -> tuple[np.ndarray, bytes]:
+    """First word of every sentence, and the digests of all words together; ``known`` holds digests of words."""
+    pieces = [text[a:b].split() for a, b in at]
+    begins = np.cumsum([0, *map(len, pieces)])[:-1]
+    words = list(itertools.chain.from_iterable(pieces))
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+    for word in set(words).difference(known):
+        known[word] = _digest(word.encode("utf-8", "surrogatepass"))
+    return begins, b"".join(map(known.__getitem__, words))
+
+
+def _window_marks(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every ``WORDS`` words in a row the place and the hash of their mark."""
+    n = len(numbers) - GRAM + 1
+    if len(numbers) < WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    grams = numbers[:n]
+    for j in range(1, GRAM):
+        grams = grams * vectors.STEP + numbers[j : n + j]
+    grams = vectors.mix(grams)
+    least = np.lib.stride_tricks.sliding_window_view(grams, WORDS - GRAM + 1).argmin(axis=1)
+    least += np.arange(len(least))
+    return least, grams[least]
+
+
+def _run_marks(numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash for each run of words."""
+    return vectors.mix(vectors.range_hashes(vectors.prefix_hashes(vectors.mix(numbers)), starts, ends))
+
+
+def _sentence_runs(begins: np.ndarray, n: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    bounds = np.append(begins, n)
+    return bounds[:-span][: max(len(begins) - span + 1, 0)], bounds[span:]
+
+
+def text_marks(text: str, span: int, known: dict[str, bytes]) -> np.ndarray:
+    """The marks of a text; one that stands at several places is given twice."""
+    at = sentences(text)
+    begins, data = _words(text, at, known)
+    numbers = np.frombuffer(data, np.uint64)[::2]
+    places, hashes = _window_marks(numbers)
+    _, once = np.unique(places, return_index=True)
+    starts, ends = _sentence_runs(begins, len(numbers), span)
+    short = ends - starts < WORDS
+    found, n = np.unique(np.concatenate((hashes[once], _run_marks(numbers, starts[short], ends[short]))), return_counts=True)
+    return np.repeat(found, np.minimum(n, 2))
+
+
+def text_spans(text: str, span: int, known: dict[str, bytes], marks: np.ndarray | None = None) -> tuple[list[int], list[int], list[bytes]]:
+    """First word, number of words and digest of every span of a text that holds one of the marks, or of all its spans."""
     at = sentences(text)
     if not at:
         return [], [], []
-    found = list(WORD.finditer(text))
-    begins = np.searchsorted([m.start() for m in found], [a for a, _ in at])
-    digests = []
-    for m in found:
-        word = m.group()
-        if word not in known:
-            if len(known) >= KNOWN_WORDS:
-                known.clear()
-            known[word] = _digest(word.encode("utf-8", "surrogatepass"))
-        digests.append(known[word])
-    data = b"".join(digests)
-    starts, ends = (x.tolist() for x in word_runs(word_cuts(np.frombuffer(data, np.uint64)[::2], begins)))
-    spans = [_digest(data[16 * i : 16 * j]) for i, j in zip(starts, ends, strict=True)]
-    parts = [_digest(text[a:b].strip().encode("utf-8", "surrogatepass")) for a, b in at]
-    bounds = [*begins.tolist(), len(found)]
-    for i in range(len(parts) - span + 1):
-        starts.append(bounds[i])
-        ends.append(bounds[i + span])
-        spans.append(_digest(b"sentences" + b"".join(parts[i : i + span])))
-    return starts, [j - i for i, j in zip(starts, ends, strict=True)], spans
-
-
-def spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, source, place, size, span): every span with its first word and number of words."""
+    begins, data = _words(text, at, known)
+    numbers = np.frombuffer(data, np.uint64)[::2]
+    starts, ends = word_runs(word_cuts(numbers, begins))
+    first, last = _sentence_runs(begins, len(numbers), span)
+    which = np.arange(len(first))
+    if marks is not None:
+        often = np.isin(_window_marks(numbers)[1], marks)
+        held = often[starts] & often[ends - WORDS] if len(starts) else np.zeros(0, bool)
+        starts, ends = starts[held], ends[held]
+        short = last - first < WORDS
+        held = np.zeros(len(first), bool)
+        held[short] = np.isin(_run_marks(numbers, first[short], last[short]), marks)
+        held[~short] = often[first[~short]] & often[last[~short] - WORDS] if len(often) else False
+        first, last, which = first[held], last[held], which[held]
+    spans = [_digest(data[16 * i : 16 * j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+    parts: dict[int, bytes] = {}
+    for i in which.tolist():
+        for j in range(i, i + span):
+            if j not in parts:
+                parts[j] = _digest(text[at[j][0] : at[j][1]].strip().encode("utf-8", "surrogatepass"))
+        spans.append(_digest(b"sentences" + b"".join(parts[j] for j in range(i, i + span))))
+    return [*starts.tolist(), *first.tolist()], [*(ends - starts).tolist(), *(last - first).tolist()], spans
+
+
+def covered(text: str, at: list[tuple[int, int]], span: int, known: dict[str, bytes]) -> list[tuple[int, int]]:
+    """First word and number of words of every span, without digests of the spans."""
+    begins, data = _words(text, at, known)
+    numbers = np.frombuffer(data, np.uint64)[::2]
+    starts, ends = (np.concatenate(x) for x in zip(word_runs(word_cuts(numbers, begins)), _sentence_runs(begins, len(numbers), span), strict=True))
+    return list(zip(starts.tolist(), (ends - starts).tolist(), strict=True))
+
+
+def _source(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, other, text): ``key`` and ``other`` are two hashes of the text."""
+    return id_and_text(docs).select("doc_id", F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), "text").alias("other"), "text")
+
+
+def marks(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """(key, mark): the marks of every row's text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"doc_id": pa.int64(), "source": pa.int64(), "place": pa.int32(), "size": pa.int32(), "span": pa.binary()}
         known: dict[str, bytes] = {}
+        for batch in batches:
+            keys, found, n = [], [], 0
+            for key, text in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
+                found.append(text_marks(text.as_py(), span, known))
+                keys.append(np.full(len(found[-1]), key))
+                n += len(found[-1])
+                if n > OUT_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(found).view(np.int64))], ["key", "mark"])
+                    keys, found, n = [], [], 0
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(found).view(np.int64))], ["key", "mark"])
 
-        def batch_of(columns: list[list]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+    return _source(docs).select("key", "text").mapInArrow(rows, "key long, mark long")
 
+
+def _of_representative(source: DataFrame, table: DataFrame, how: str) -> DataFrame:
+    """Rows of ``source`` with those of a table by (rep_id, rep_key, rep_other): no copy but the smallest id meets one, so no key is hot."""
+    same = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key")) & (F.col("other") == F.col("rep_other"))
+    return source.join(table, same, how)
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """(rep_id, rep_key, rep_other): the smallest id of every text."""
+    texts = _source(docs).groupBy("key", "other").agg(F.min("doc_id").alias("rep_id"))
+    return texts.withColumnsRenamed({"key": "rep_key", "other": "rep_other"})
+
+
+def spans(docs: DataFrame, chosen: DataFrame, span: int = SPAN) -> DataFrame:
+    """(doc_id, key, other, place, size, again, span): spans that may repeat, ``again`` if the text holds the same one before.
+
+    ``chosen`` has the representatives whose texts hold repeated marks, with these marks.
+    """
+    kinds = {
+        "doc_id": pa.int64(), "key": pa.int64(), "other": pa.int64(), "place": pa.int32(), "size": pa.int32(), "again": pa.bool_(), "span": pa.binary(),
+    }
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bytes] = {}
         for batch in batches:
-            columns = [[], [], [], [], []]
-            for doc_id, source, text in zip(*batch.columns, strict=True):
-                places, sizes, digests = text_spans(text.as_py(), span, known)
-                n = len(places)
-                for column, values in zip(columns, ([doc_id.as_py()] * n, [source.as_py()] * n, places, sizes, digests), strict=True):
-                    column += values
-                if len(columns[0]) > OUT_ROWS:
-                    yield batch_of(columns)
-                    columns = [[], [], [], [], []]
-            yield batch_of(columns)
+            for doc_id, key, other, text, often in zip(*batch.columns, strict=True):
+                places, sizes, digests = text_spans(text.as_py(), span, known, often.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                seen: set[bytes] = set()
+                again = [False] * len(digests)
+                for i in sorted(range(len(digests)), key=places.__getitem__):
+                    again[i] = digests[i] in seen
+                    seen.add(digests[i])
+                columns = [pa.repeat(c, len(places)) for c in (doc_id, key, other)]
+                columns += [pa.array(c, k) for c, k in zip((places, sizes, again, digests), list(kinds.values())[3:], strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, list(kinds))
 
-    source = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("source"), "text")
-    return source.mapInArrow(rows, "doc_id long, source long, place int, size int, span binary")
+    joined = _of_representative(_source(docs), chosen, "inner").select("doc_id", "key", "other", "text", "marks")
+    return joined.mapInArrow(rows, "doc_id long, key long, other long, place int, size int, again boolean, span binary")
 
 
 def repeated(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, source, places): first word and size of the spans that are copies of an earlier one, a row per document that has any.
+    """(rep_id, rep_key, rep_other, places): every representative, and first word and size of its spans that are copies of an earlier one.
 
-    The first place and the count of each span are partial aggregates, so a span in a third of all documents is one row
-    per task; only the digests of repeated spans are joined back.
+    Counts, first places and the marks of a text are partial aggregates, so what a third of all documents share is one row per
+    task; the joins have many small rows per hot value, which adaptive execution splits.
     """
-    found = stored(spans(docs, span), "spans")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "source", "place")
-    # counting first moves only digests; places are compared for the repeated ones alone
-    often = stored(found.groupBy("span").agg(F.count("*").alias("n")).where("n > 1").select("span"), "often")
-    again = stored(found.join(often, "span", "left_semi"), "again")
-    first = again.groupBy("span").agg(F.min(place).alias("first"))
-    later = again.join(first, "span").where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "source").agg(F.array_sort(F.collect_set(F.struct("place", "size"))).alias("places"))
+    held = stored(marks(docs, span), "marks")
+    often = stored(held.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "often")
+    by_text = held.join(often, "mark", "left_semi").groupBy("key").agg(F.collect_set("mark").alias("marks"))
+    by_text = stored(by_text.withColumnRenamed("key", "rep_key"), "marks-of-texts")
+    discard(held, often)
+    reps = stored(representatives(docs), "representatives")
+    found = stored(spans(docs, reps.join(by_text, "rep_key"), span), "spans")
+    discard(by_text)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "other")
+    apart = found.where("not again")
+    first = stored(apart.groupBy("span").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
+    later = apart.join(first, "span").where(~place.eqNullSafe(F.col("first"))).select("key", "other", "place", "size")
+    later = later.union(found.where("again").select("key", "other", "place", "size"))
+    gone = later.groupBy("key", "other").agg(F.collect_set(F.struct("place", "size")).alias("places"))
+    gone = gone.withColumnsRenamed({"key": "rep_key", "other": "rep_other"})
+    whole = stored(reps.join(gone, ["rep_key", "rep_other"], "left"), "removed")
+    discard(reps, found, first)
+    return whole
 
 
 def clean(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """One row per document: doc_id, n_sentences, n_removed (whole sentences), n_spans (removed runs of words), kept_text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bytes] = {}
         for batch in batches:
             out = []
-            for doc_id, text, places in zip(*batch.columns, strict=True):
+            for doc_id, text, first, places in zip(*batch.columns, strict=True):
                 text, at = text.as_py(), sentences(text.as_py())
                 kept, n_removed, n_spans = text, 0, 0
-                if places.as_py():
+                gone = [(p["place"], p["size"]) for p in places.as_py() or ()] if first.as_py() else covered(text, at, span, known)
+                if gone:
                     starts = [m.start() for m in WORD.finditer(text)]
                     change = np.zeros(len(starts) + 1, np.int64)
-                    for p in places.as_py():
-                        change[p["place"]] += 1
-                        change[p["place"] + p["size"]] -= 1
+                    for place, size in gone:
+                        change[place] += 1
+                        change[place + size] -= 1
                     left = np.cumsum(change)[:-1] == 0
                     begins = np.searchsorted(starts, [a for a, _ in at])
                     n_removed = int((np.add.reduceat(left.astype(np.int64), begins) == 0).sum())
@@ -178,7 +294,5 @@ def clean(docs: DataFrame, span: int = SPAN) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [f.split()[0] for f in RESULT.split(", ")])
 
-    source = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("source"), "text")
-    gone = repeated(docs, span).withColumnsRenamed({"doc_id": "gone_id", "source": "gone_source"})
-    joined = source.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("source") == F.col("gone_source")), "left")
-    return joined.select("doc_id", "text", "places").mapInArrow(rows, RESULT)
+    joined = _of_representative(_source(docs), repeated(docs, span), "left")
+    return joined.select("doc_id", "text", F.col("rep_key").isNotNull().alias("first"), "places").mapInArrow(rows, RESULT)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from basketry.session import materialize
 
+#: Spark's setting that removes the shuffle files of an execution at its end.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
@@ -21,8 +24,17 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts the lineage and survives lost executors."""
-    return materialize(df, f"llm-{name}")
+    """``df`` written once to the shared folder and read back: cuts the lineage and survives lost executors.
+
+    The shuffle files of the write are freed with it; while it runs they are kept, so lost ones are made again as usual.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES)
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        return materialize(df, f"llm-{name}")
+    finally:
+        conf.set(FREE_SHUFFLES, before)
 
 
 def discard(*tables: DataFrame) -> None:
