@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans: sentences covered by a repeat of an earlier run of sentences are removed.
 
 A sentence ends at ``.``, ``!`` or ``?`` before a blank, or at a line feed; blanks around it do not count. There are two
-kinds of spans, each with a 128-bit digest:
+kinds of spans, each with a 128-bit digest (of 64-bit hashes of the words, or of digests of the sentences):
 
 - every run of ``SPAN`` consecutive sentences, of whatever length;
 - runs of ``WORDS`` words or somewhat more between cuts. Cuts are the sentence starts and, within a sentence, the word pairs
@@ -27,7 +27,6 @@ are ignored. A very long text is read by one task, which needs some 100 bytes pe
 from __future__ import annotations
 
 import hashlib
-import itertools
 import re
 from collections.abc import Iterator
 
@@ -44,8 +43,10 @@ WORDS = 25
 WINDOW = 8
 GRAM = 8
 WORD = re.compile(r"\S+")
-#: A task keeps the digests of at most this many words.
-KNOWN_WORDS = 1 << 18
+#: Blanks beyond those of ASCII text, which end words as well.
+ODD_BLANK = re.compile(r"[^\S \t\n\x0b\f\r]")
+#: A task keeps the digests of this many sentences and those of one text.
+KNOWN_SENTENCES = 1 << 16
 BREAK = re.compile(r"(?<=[.!?])[ \t\x0b\f\r]+|[ \t\x0b\f\r]*\n\s*")
 OUT_ROWS = 50_000
 RESULT = "doc_id long, n_sentences long, n_removed long, n_spans long, kept_text string"
@@ -73,7 +74,8 @@ def word_cuts(numbers: np.ndarray, begins: np.ndarray) -> np.ndarray:
     if n >= WINDOW:
         pairs = vectors.mix(np.append(np.uint64(0), numbers[:-1]) * vectors.STEP + numbers)
         first = np.zeros(n + 1, np.int64)
-        first[1:] = np.cumsum(np.isin(np.arange(n), begins))
+        first[begins + 1] = 1
+        first = np.cumsum(first)
         inside = np.flatnonzero(first[WINDOW:] == first[:-WINDOW])  # no sentence starts within
         at = inside + np.lib.stride_tricks.sliding_window_view(pairs, WINDOW)[inside].argmin(axis=1)
     return np.unique(np.concatenate((begins, at, [n])))
@@ -91,16 +93,15 @@ def word_runs(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one // (n + 1), one % (n + 1)
 
 
-def _words(text: str, at: list[tuple[int, int]], known: dict[str, bytes]) -> tuple[np.ndarray, bytes]:
-    """First word of every sentence, and the digests of all words together; ``known`` holds digests of words."""
-    pieces = [text[a:b].split() for a, b in at]
-    begins = np.cumsum([0, *map(len, pieces)])[:-1]
-    words = list(itertools.chain.from_iterable(pieces))
-    if len(known) > KNOWN_WORDS:
-        known.clear()
-    for word in set(words).difference(known):
-        known[word] = _digest(word.encode("utf-8", "surrogatepass"))
-    return begins, b"".join(map(known.__getitem__, words))
+def _words(text: str, at: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """First word of every sentence, and a hash of every word."""
+    plain = ODD_BLANK.sub(" ", text)
+    data = np.frombuffer(plain.encode("utf-8", "surrogatepass"), np.uint8)
+    starts, ends, _ = vectors.word_spans(data, np.array([0, len(data)]))
+    firsts = np.array([a for a, _ in at], np.int64)
+    if len(data) != len(plain):
+        firsts = np.flatnonzero((data & 0xC0) != 0x80)[firsts]  # from characters to bytes
+    return np.searchsorted(starts, firsts), vectors.range_hashes(vectors.prefix_hashes(vectors.CODES[data]), starts, ends)
 
 
 def _window_marks(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,18 +123,23 @@ def _run_marks(numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return vectors.mix(vectors.range_hashes(vectors.prefix_hashes(vectors.mix(numbers)), starts, ends))
 
 
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are among the known ones, which are sorted."""
+    at = np.searchsorted(known, hashes)
+    return known[np.minimum(at, len(known) - 1)] == hashes if len(known) else np.zeros(len(hashes), bool)
+
+
 def _sentence_runs(begins: np.ndarray, n: int, span: int) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.append(begins, n)
     return bounds[:-span][: max(len(begins) - span + 1, 0)], bounds[span:]
 
 
-def text_marks(text: str, span: int, known: dict[str, bytes]) -> np.ndarray:
+def text_marks(text: str, span: int) -> np.ndarray:
     """The marks of a text; one that stands at several places is given twice."""
     at = sentences(text)
-    begins, data = _words(text, at, known)
-    numbers = np.frombuffer(data, np.uint64)[::2]
+    begins, numbers = _words(text, at)
     places, hashes = _window_marks(numbers)
-    _, once = np.unique(places, return_index=True)
+    once = np.flatnonzero(np.diff(places, prepend=-1))  # places of the first smallest hash never go back
     starts, ends = _sentence_runs(begins, len(numbers), span)
     short = ends - starts < WORDS
     found, n = np.unique(np.concatenate((hashes[once], _run_marks(numbers, starts[short], ends[short]))), return_counts=True)
@@ -141,38 +147,43 @@ def text_marks(text: str, span: int, known: dict[str, bytes]) -> np.ndarray:
 
 
 def text_spans(text: str, span: int, known: dict[str, bytes], marks: np.ndarray | None = None) -> tuple[list[int], list[int], list[bytes]]:
-    """First word, number of words and digest of every span of a text that holds one of the marks, or of all its spans."""
+    """First word, number of words and digest of every span of a text that holds one of the marks, or of all its spans.
+
+    ``known`` holds digests of sentences.
+    """
     at = sentences(text)
     if not at:
         return [], [], []
-    begins, data = _words(text, at, known)
-    numbers = np.frombuffer(data, np.uint64)[::2]
+    begins, numbers = _words(text, at)
     starts, ends = word_runs(word_cuts(numbers, begins))
     first, last = _sentence_runs(begins, len(numbers), span)
     which = np.arange(len(first))
     if marks is not None:
-        often = np.isin(_window_marks(numbers)[1], marks)
+        marks = np.sort(marks)
+        often = _among(_window_marks(numbers)[1], marks)
         held = often[starts] & often[ends - WORDS] if len(starts) else np.zeros(0, bool)
         starts, ends = starts[held], ends[held]
         short = last - first < WORDS
         held = np.zeros(len(first), bool)
-        held[short] = np.isin(_run_marks(numbers, first[short], last[short]), marks)
+        held[short] = _among(_run_marks(numbers, first[short], last[short]), marks)
         held[~short] = often[first[~short]] & often[last[~short] - WORDS] if len(often) else False
         first, last, which = first[held], last[held], which[held]
-    spans = [_digest(data[16 * i : 16 * j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-    parts: dict[int, bytes] = {}
+    data = numbers.tobytes()
+    spans = [_digest(data[8 * i : 8 * j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+    if len(known) > KNOWN_SENTENCES:
+        known.clear()
     for i in which.tolist():
-        for j in range(i, i + span):
-            if j not in parts:
-                parts[j] = _digest(text[at[j][0] : at[j][1]].strip().encode("utf-8", "surrogatepass"))
-        spans.append(_digest(b"sentences" + b"".join(parts[j] for j in range(i, i + span))))
+        parts = [text[a:b].strip() for a, b in at[i : i + span]]
+        for part in parts:
+            if part not in known:
+                known[part] = _digest(part.encode("utf-8", "surrogatepass"))
+        spans.append(_digest(b"sentences" + b"".join([known[part] for part in parts])))
     return [*starts.tolist(), *first.tolist()], [*(ends - starts).tolist(), *(last - first).tolist()], spans
 
 
-def covered(text: str, at: list[tuple[int, int]], span: int, known: dict[str, bytes]) -> list[tuple[int, int]]:
+def covered(text: str, at: list[tuple[int, int]], span: int) -> list[tuple[int, int]]:
     """First word and number of words of every span, without digests of the spans."""
-    begins, data = _words(text, at, known)
-    numbers = np.frombuffer(data, np.uint64)[::2]
+    begins, numbers = _words(text, at)
     starts, ends = (np.concatenate(x) for x in zip(word_runs(word_cuts(numbers, begins)), _sentence_runs(begins, len(numbers), span), strict=True))
     return list(zip(starts.tolist(), (ends - starts).tolist(), strict=True))
 
@@ -186,11 +197,10 @@ def marks(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(key, mark): the marks of every row's text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bytes] = {}
         for batch in batches:
             keys, found, n = [], [], 0
             for key, text in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
-                found.append(text_marks(text.as_py(), span, known))
+                found.append(text_marks(text.as_py(), span))
                 keys.append(np.full(len(found[-1]), key))
                 n += len(found[-1])
                 if n > OUT_ROWS:
@@ -271,13 +281,12 @@ def clean(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """One row per document: doc_id, n_sentences, n_removed (whole sentences), n_spans (removed runs of words), kept_text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bytes] = {}
         for batch in batches:
             out = []
             for doc_id, text, first, places in zip(*batch.columns, strict=True):
                 text, at = text.as_py(), sentences(text.as_py())
                 kept, n_removed, n_spans = text, 0, 0
-                gone = [(p["place"], p["size"]) for p in places.as_py() or ()] if first.as_py() else covered(text, at, span, known)
+                gone = [(p["place"], p["size"]) for p in places.as_py() or ()] if first.as_py() else covered(text, at, span)
                 if gone:
                     starts = [m.start() for m in WORD.finditer(text)]
                     change = np.zeros(len(starts) + 1, np.int64)
