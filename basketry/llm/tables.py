@@ -29,7 +29,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The shuffle files of the write are freed with it; while it runs they are kept, so lost ones are made again as usual.
     """
     conf = df.sparkSession.conf
-    before = conf.get(FREE_SHUFFLES)
+    before = conf.get(FREE_SHUFFLES, "false")
     conf.set(FREE_SHUFFLES, "true")
     try:
         return materialize(df, f"llm-{name}")
