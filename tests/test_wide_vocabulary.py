@@ -3,7 +3,6 @@
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import functions as F
 
 from basketry.models import evaluation, forests, random_trees
 from basketry.models.classifiers import Params, binned_visits, train_model
@@ -88,8 +87,9 @@ def test_ranges_that_leave_a_task_in_parts_are_the_same(spark, monkeypatch):
     assert np.allclose(parts.votes(x), whole.votes(x))
 
 
-def test_forest_reads_labelled_visits_alone(spark):
-    x, y = made(90)
+@pytest.mark.parametrize("kind", ["RF", "AB"])
+def test_a_missing_label_is_refused(spark, kind):
+    x, y = made(40)
     labels = [None if i % 5 == 0 else v for i, v in enumerate(y)]
-    model = train_model("RF", table(spark, x, labels), Params(n_est=2, max_depth=3))
-    assert model.classes == [3, 7, 11] and model.with_probability(table(spark, x, y), "p").where(F.size("p") == 3).count() == 90
+    with pytest.raises(ValueError, match="must not be missing"):
+        train_model(kind, table(spark, x, labels), Params(n_est=2, max_depth=3))
