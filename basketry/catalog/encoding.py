@@ -172,7 +172,7 @@ def named(entries, model):
     return rounded(entries.join(F.broadcast(model.names()), "feature_idx").select("visit_number", "feature", "value"), "value")
 
 
-@over_lines("matrix_sum", f"select visit_number, feature, value from ({encoded_sql('train', share=False)}) e where value <> 0")
+@over_lines("matrix_sum", f"select visit_number, feature, value from ({encoded_sql('train', share=False)}) e where value <> 0", written=True)
 def matrix_sum(lines):
     """The encoded blocks as the single operators give them."""
     train = training_lines(lines)
@@ -193,21 +193,21 @@ def matrix_sum(lines):
     )
 
 
-@over_lines("assemble_matrix", matrix_sql("train"))
+@over_lines("assemble_matrix", matrix_sql("train"), written=True)
 def assemble_matrix(lines):
     """The entries of the training vectors, read back from the vectors."""
     model, matrix = prepare_train(training_lines(lines), CONFIG)
     return named(vector_triples(matrix), model)
 
 
-@over_lines("shared_vocab_columns", matrix_sql("test"))
+@over_lines("shared_vocab_columns", matrix_sql("test"), written=True)
 def shared_vocab_columns(lines):
     """The entries of the test visits in the columns fitted on the training visits."""
     model = FeatureModel.fit(training_lines(lines), CONFIG)
     return named(triples(prepare_test(scoring_lines(lines), model)), model)
 
 
-@over_lines("visit_feature_entries", matrix_sql("scans"))
+@over_lines("visit_feature_entries", matrix_sql("scans"), written=True)
 def visit_feature_entries(lines):
     """The entries of the vectors of all visits, with the vocabularies of the training visits."""
     model = FeatureModel.fit(training_lines(lines), CONFIG)
@@ -229,6 +229,7 @@ def visit_feature_entries(lines):
       from fs cross join cp left join ob on ob.feature = fs.feature and ob.trip_type = cp.trip_type group by 1)
     select feature, round(chi2, 4) as chi2, round(list_sum(list_transform(generate_series(0, degrees // 2 - 1),
       lambda i: exp(-chi2 / 2 + i * ln(chi2 / 2) - lgamma(i + 1)))), 4) as p_value from s) c""",
+    written=True,
 )
 def chi2_blocks(lines):
     """Scores and p-values of all features of the training matrix that cannot be negative, with degrees of freedom from the data."""
@@ -270,18 +271,18 @@ def _whole(matrix):
     return matrix.withColumns({"n_entries": F.size(positions), "entries": F.array_join(parts, ",")}).drop("features")
 
 
-@over_lines("visit_feature_matrix", whole_sql("scans"))
+@over_lines("visit_feature_matrix", whole_sql("scans"), written=True)
 def visit_feature_matrix(lines):
     """All visits with the vocabularies of the training visits, vectors included."""
     return _whole(FeatureModel.fit(training_lines(lines), CONFIG).matrix(lines))
 
 
-@over_lines("prepare_train", whole_sql("train"))
+@over_lines("prepare_train", whole_sql("train"), written=True)
 def prepared_train(lines):
     return _whole(prepare_train(training_lines(lines), CONFIG)[1])
 
 
-@over_lines("prepare_test", whole_sql("test", labelled=False))
+@over_lines("prepare_test", whole_sql("test", labelled=False), written=True)
 def prepared_test(lines):
     model = FeatureModel.fit(training_lines(lines), CONFIG)
     return _whole(prepare_test(scoring_lines(lines).drop("trip_type"), model))
@@ -305,6 +306,7 @@ def vocab_persist(spark, directory):
     f"""select a.*, b.* exclude (visit_number), c.n_depts from (select visit_number, {ALL_SCALARS_SQL} from ne group by 1) a
     join (select visit_number, {GROUP_SQL} from ne group by 1) b on b.visit_number = a.visit_number
     join (select visit_number, count(distinct {MERGED}) as n_depts from ne group by 1) c on c.visit_number = a.visit_number""",
+    written=True,
 )
 def join_feature_blocks(lines):
     encoded = encode.dept_line_counts(lines, CONFIG.merges).groupBy("visit_number").agg(F.count(F.lit(1)).alias("n_depts"))
@@ -331,7 +333,7 @@ def anti_empty_visits(lines):
     return visits.empty_visits_by_difference(lines)
 
 
-@over_lines("join_labels", f"select visit_number, {ALL_SCALARS_SQL}, max(trip_type) as trip_type from ne group by 1")
+@over_lines("join_labels", f"select visit_number, {ALL_SCALARS_SQL}, max(trip_type) as trip_type from ne group by 1", written=True)
 def join_labels(lines):
     return join_blocks(visits.visit_aggregates(lines), visits.visit_labels(lines))
 

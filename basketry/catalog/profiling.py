@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from basketry.catalog.base import CONFIG, EXCLUDED, FINELINES, over_lines, register, rounded
 from basketry.operators import clean, profile, ranking, sets, vocabulary
 from basketry.plans.workflow import write_profiles
-from basketry.session import fresh_path
+from basketry.session import fresh_path, materialize
 from basketry.sources import files
 from basketry.sources.tables import star_scan_lines, scoring_lines, training_lines
 
@@ -259,7 +259,7 @@ def fineline_vocab_shared(lines):
 )
 def profile_files(spark, directory):
     """All files of the profiling run, written and read back: a row per file and key."""
-    lines, root = star_scan_lines(spark, directory), fresh_path(spark, "profiles")
+    lines, root = materialize(star_scan_lines(spark, directory), "scan-lines"), fresh_path(spark, "profiles")
     write_profiles(training_lines(lines), planted_test(lines), root)
 
     def read(file, schema, key, n):
