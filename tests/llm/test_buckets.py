@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,26 @@ def test_discard_deletes_only_written_tables(spark):
 def test_components_of_chain_after_discards(spark):
     edges = spark.range(50).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.node: r.root for r in components(edges).collect()} == {i: 0 for i in range(1, 51)}
+
+
+def _never(contents):
+    raise AssertionError("contents of unlike sketches are judged")
+
+
+def test_contents_of_unlike_sketches_are_not_moved(spark):
+    """One crowded bucket of three nodes with nothing in common but the key."""
+    rows = [(bytes([i]) * 16, [7, 100 + i], bytes([i]) * 8) for i in range(3)]
+    signatures = stored(spark.createDataFrame(rows, "node binary, keys array<bigint>, sketch binary"), "test-signatures")
+    contents = spark.createDataFrame([(node, "x" * 40) for node, _, _ in rows], "node binary, content string")
+    assert buckets.linked_contents(signatures, contents, _never, 0.8, 0.55).count() == 0
+
+
+def test_partners_are_of_another_component_and_alike():
+    """Rows of four groups: a pair alike, a pair of one component, an unlike pair, and two blocks where only pairs between them count."""
+    rows = [(1, 0, 0, 0, b"a", "xxxx"), (1, 0, 0, 0, b"b", "xxxy"), (2, 0, 0, 0, b"a", "xxxx"), (2, 0, 0, 0, b"a", "xxxx"), (3, 0, 0, 0, b"a", "xxxx")]
+    rows += [(3, 0, 0, 0, b"b", "zzzz"), (4, 0, 1, 0, b"a", "xxxx"), (4, 0, 1, 0, b"b", "xxxx"), (4, 0, 1, 1, b"c", "yyyy")]
+    names = ["key", "low", "high", "block", "root", "sketch"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    columns = [pa.array([r[i].encode() if n == "sketch" else r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))]
+    found = buckets.with_partners(pa.RecordBatch.from_arrays(columns, names), 0.7)
+    assert found.tolist() == [True, True] + [False] * 7
