@@ -85,6 +85,18 @@ def test_repeated_bytes_of_other_lengths(spark, rows):
     assert Counter(map(tuple, found)) == Counter(brute_bytes(rows[:8], 130))
 
 
+def test_copies_are_digested_by_stretches(spark):
+    """A long copied passage in many documents: a row per stretch, and windows only where the passage begins and ends."""
+    passage = prose(31, 300)
+    rows = [(i, f"{prose(100 + i, 40)} {passage} {prose(200 + i, 40)}") for i in range(6)]
+    docs = table(spark, rows)
+    n_windows = 6 * (len(passage) - 99)
+    found = repeated_bytes.stretches(docs)
+    assert found.agg({"size": "sum"}).first()[0] >= n_windows
+    assert found.count() < n_windows / 10
+    assert Counter(map(tuple, repeated_bytes.clean(docs).drop("kept").collect())) == Counter(brute_bytes(rows))
+
+
 def test_line_dedup(spark):
     x, y = prose(11, 12), prose(12, 12)
     docs = [(1, f"{x}\nshort\n{y}"), (2, f"short\n{x[:-3]}abc"), (3, f"{y}\n{y}\n{prose(13, 12)}"), (4, None), (5, ""), (None, f"  {x} ")]
