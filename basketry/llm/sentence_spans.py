@@ -42,12 +42,12 @@ SPAN = 3
 WORDS = 25
 WINDOW = 8
 GRAM = 8
-WORD = re.compile(r"\S+")
 #: Blanks beyond those of ASCII text, which end words as well.
-ODD_BLANK = re.compile(r"[^\S \t\n\x0b\f\r]")
+ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A task keeps the digests of this many sentences and those of one text.
 KNOWN_SENTENCES = 1 << 16
-BREAK = re.compile(r"(?<=[.!?])[ \t\x0b\f\r]+|[ \t\x0b\f\r]*\n\s*")
+#: Begins with one character class, which the search can look for alone.
+BREAK = re.compile(r"[.!?\n](?:(?<=\n)\s*|(?<!\n)[ \t\x0b\f\r]+)")
 OUT_ROWS = 50_000
 RESULT = "doc_id long, n_sentences long, n_removed long, n_spans long, kept_text string"
 
@@ -56,17 +56,29 @@ def sentences(text: str) -> list[tuple[int, int]]:
     """Start of each sentence and of what follows it: together they are the whole text but for blanks at its start."""
     cuts = [0]
     for m in BREAK.finditer(text):
-        if m.end() > cuts[-1] and text[cuts[-1] : m.start()].strip():
+        first = m.start()
+        if text[first] != "\n" or text[cuts[-1] : first].strip():
             cuts.append(m.end())
-    if cuts[-1] < len(text):
+    if text[cuts[-1] :].strip():  # the others are not blank
         cuts.append(len(text))
-    return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if text[a:b].strip()]
+    return list(zip(cuts, cuts[1:], strict=False))
 
 
 def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
+def _sorted_set(numbers: np.ndarray) -> np.ndarray:
+    """The distinct numbers of a short array."""
+    numbers = np.sort(numbers)
+    return numbers[np.append(True, numbers[1:] != numbers[:-1])[: len(numbers)]]
+
+
+def _windows(numbers: np.ndarray, size: int) -> np.ndarray:
+    """All runs of ``size`` neighbours, as a view."""
+    return np.ndarray((len(numbers) - size + 1, size), numbers.dtype, numbers, 0, numbers.strides * 2)
+
+
 def word_cuts(numbers: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """The words at which runs begin and end, of a text with those word hashes and sentence starts, and its end."""
     n = len(numbers)
@@ -77,8 +89,8 @@ def word_cuts(numbers: np.ndarray, begins: np.ndarray) -> np.ndarray:
         first[begins + 1] = 1
         first = np.cumsum(first)
         inside = np.flatnonzero(first[WINDOW:] == first[:-WINDOW])  # no sentence starts within
-        at = inside + np.lib.stride_tricks.sliding_window_view(pairs, WINDOW)[inside].argmin(axis=1)
-    return np.unique(np.concatenate((begins, at, [n])))
+        at = inside + _windows(pairs, WINDOW)[inside].argmin(axis=1)
+    return _sorted_set(np.concatenate((begins, at, [n])))
 
 
 def word_runs(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,17 +101,30 @@ def word_runs(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         np.concatenate((starts, cuts[np.searchsorted(cuts, ends - WORDS, "right") - 1])),
         np.concatenate((cuts[np.searchsorted(cuts, starts + WORDS, "left")], ends)),
     )
-    one = np.unique(starts * (n + 1) + ends)
+    one = _sorted_set(starts * (n + 1) + ends)
     return one // (n + 1), one % (n + 1)
 
 
+def _word_bytes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a text with plain blanks, and start and end of its words there."""
+    data = np.frombuffer(ODD_BLANK.sub(" ", text).encode("utf-8", "surrogatepass"), np.uint8)
+    starts, ends, _ = vectors.word_spans(data, np.array([0, len(data)]))
+    return data, starts, ends
+
+
+def word_starts(text: str) -> np.ndarray:
+    """The character at which every word begins."""
+    data, starts, _ = _word_bytes(text)
+    if len(data) != len(text):
+        starts = (np.cumsum((data & 0xC0) != 0x80) - 1)[starts]
+    return starts
+
+
 def _words(text: str, at: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """First word of every sentence, and a hash of every word."""
-    plain = ODD_BLANK.sub(" ", text)
-    data = np.frombuffer(plain.encode("utf-8", "surrogatepass"), np.uint8)
-    starts, ends, _ = vectors.word_spans(data, np.array([0, len(data)]))
+    data, starts, ends = _word_bytes(text)
     firsts = np.array([a for a, _ in at], np.int64)
-    if len(data) != len(plain):
+    if len(data) != len(text):
         firsts = np.flatnonzero((data & 0xC0) != 0x80)[firsts]  # from characters to bytes
     return np.searchsorted(starts, firsts), vectors.range_hashes(vectors.prefix_hashes(vectors.CODES[data]), starts, ends)
 
@@ -113,7 +138,7 @@ def _window_marks(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for j in range(1, GRAM):
         grams = grams * vectors.STEP + numbers[j : n + j]
     grams = vectors.mix(grams)
-    least = np.lib.stride_tricks.sliding_window_view(grams, WORDS - GRAM + 1).argmin(axis=1)
+    least = _windows(grams, WORDS - GRAM + 1).argmin(axis=1)
     least += np.arange(len(least))
     return least, grams[least]
 
@@ -139,11 +164,11 @@ def text_marks(text: str, span: int) -> np.ndarray:
     at = sentences(text)
     begins, numbers = _words(text, at)
     places, hashes = _window_marks(numbers)
-    once = np.flatnonzero(np.diff(places, prepend=-1))  # places of the first smallest hash never go back
+    once = np.append(True, places[1:] != places[:-1])[: len(places)]  # places of the first smallest hash never go back
     starts, ends = _sentence_runs(begins, len(numbers), span)
     short = ends - starts < WORDS
-    found, n = np.unique(np.concatenate((hashes[once], _run_marks(numbers, starts[short], ends[short]))), return_counts=True)
-    return np.repeat(found, np.minimum(n, 2))
+    found = np.sort(np.concatenate((hashes[once], _run_marks(numbers, starts[short], ends[short]))))
+    return found[np.append([True, True], found[2:] != found[:-2])[: len(found)]]  # two of a kind stay
 
 
 def text_spans(text: str, span: int, known: dict[str, bytes], marks: np.ndarray | None = None) -> tuple[list[int], list[int], list[bytes]]:
@@ -172,12 +197,15 @@ def text_spans(text: str, span: int, known: dict[str, bytes], marks: np.ndarray
     spans = [_digest(data[8 * i : 8 * j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
     if len(known) > KNOWN_SENTENCES:
         known.clear()
+    own: dict[int, bytes] = {}  # digests by the number of the sentence
     for i in which.tolist():
-        parts = [text[a:b].strip() for a, b in at[i : i + span]]
-        for part in parts:
-            if part not in known:
-                known[part] = _digest(part.encode("utf-8", "surrogatepass"))
-        spans.append(_digest(b"sentences" + b"".join([known[part] for part in parts])))
+        for j in range(i, i + span):
+            if j not in own:
+                part = text[at[j][0] : at[j][1]].strip()
+                if part not in known:
+                    known[part] = _digest(part.encode("utf-8", "surrogatepass"))
+                own[j] = known[part]
+        spans.append(_digest(b"sentences" + b"".join([own[j] for j in range(i, i + span)])))
     return [*starts.tolist(), *first.tolist()], [*(ends - starts).tolist(), *(last - first).tolist()], spans
 
 
@@ -288,7 +316,7 @@ def clean(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 kept, n_removed, n_spans = text, 0, 0
                 gone = [(p["place"], p["size"]) for p in places.as_py() or ()] if first.as_py() else covered(text, at, span)
                 if gone:
-                    starts = [m.start() for m in WORD.finditer(text)]
+                    starts = word_starts(text)
                     change = np.zeros(len(starts) + 1, np.int64)
                     for place, size in gone:
                         change[place] += 1
@@ -297,8 +325,9 @@ def clean(docs: DataFrame, span: int = SPAN) -> DataFrame:
                     begins = np.searchsorted(starts, [a for a, _ in at])
                     n_removed = int((np.add.reduceat(left.astype(np.int64), begins) == 0).sum())
                     n_spans = int((~left & np.append(True, left[:-1])).sum())
-                    bounds = [at[0][0], *starts[1:], len(text)]
-                    kept = "".join(text[bounds[i] : bounds[i + 1]] for i in np.flatnonzero(left).tolist())
+                    bounds = np.concatenate(([at[0][0]], starts[1:], [len(text)]))
+                    edges = np.flatnonzero(np.diff(left.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)  # runs of words that stay
+                    kept = "".join([text[a:b] for a, b in bounds[edges].tolist()])
                 out.append((doc_id.as_py(), len(at), n_removed, n_spans, kept))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [f.split()[0] for f in RESULT.split(", ")])

@@ -59,3 +59,28 @@ def test_marks_lose_no_repeated_span(seed):
     kept = Counter(d for t, m in zip(texts, held, strict=True) for d in spans.text_spans(t, spans.SPAN, {}, np.intersect1d(m, values[n > 1]))[2])
     assert {d: k for d, k in whole.items() if k > 1} == {d: k for d, k in kept.items() if k > 1} != {}
     assert all(k <= whole[d] for d, k in kept.items())
+
+
+def odd_texts(seed, n=300):
+    r = random.Random(seed)
+    parts = [*" \t\n\x0b\f\r.!?ab", *"\x1c\x85\xa0　é", "a b. ", "xy\n"]
+    return ["".join(r.choice(parts) for _ in range(r.randint(0, 200))) for _ in range(n)]
+
+
+def test_sentences_and_words_equal_the_plain_rules():
+    import re
+
+    plain_break = re.compile(r"(?<=[.!?])[ \t\x0b\f\r]+|[ \t\x0b\f\r]*\n\s*")
+    for text in odd_texts(3):
+        cuts = [0]
+        for m in plain_break.finditer(text):
+            if m.end() > cuts[-1] and text[cuts[-1] : m.start()].strip():
+                cuts.append(m.end())
+        ends = [*cuts[1:], len(text)]
+        assert spans.sentences(text) == [(a, b) for a, b in zip(cuts, ends, strict=True) if text[a:b].strip()]
+        assert spans.word_starts(text).tolist() == [m.start() for m in re.finditer(r"\S+", text)]
+
+
+def test_odd_blanks_are_all_that_end_words():
+    odd = [c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \t\n\x0b\f\r"]
+    assert [c for c in map(chr, range(0x110000)) if spans.ODD_BLANK.fullmatch(c)] == odd
