@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from basketry.models import evaluation
 from basketry.models.classifiers import Params, fit_boosted
 from basketry.models.persistence import load_model, save_model
-from basketry.session import fresh_path, materialize
+from basketry.session import fresh_path, materialize, over_all_cores
 
 CLASSES = 4
 ROWS = 300
@@ -82,3 +82,14 @@ def test_missing_label_is_rest_and_saving_keeps_all(spark, matrix):
     assert evaluation.model_loss(loaded, matrix).first() == evaluation.model_loss(model, matrix).first()
     assert loaded.rounds(matrix) == model.rounds(matrix)
     assert abs(sum(model.importances()) - 1) < 1e-9
+    with pytest.raises(ValueError):
+        model.rounds(some)
+
+
+def test_a_matrix_of_one_file_is_dealt_over_all_cores(spark, matrix):
+    one = materialize(matrix.coalesce(1), "one-file")
+    dealt = over_all_cores(one, lambda df: materialize(df, "dealt"))
+    cores = spark.sparkContext.defaultParallelism
+    assert one.rdd.getNumPartitions() < cores <= dealt.rdd.getNumPartitions()
+    assert sorted(r["visit_number"] for r in dealt.collect()) == list(range(ROWS))
+    assert over_all_cores(dealt, lambda df: None) is dealt
