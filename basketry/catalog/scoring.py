@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from basketry.catalog.base import CLASSES, fixed_probabilities, over_lines, register, rounded
+from basketry.catalog.base import CLASSES, dealt_probabilities, fixed_probabilities, over_lines, register, rounded
 from basketry.models.evaluation import fold, holdout_split, stratified_fold, stratified_split
 from basketry.operators import clean, encode, labels, metrics, stats, visits
 from basketry.operators.ranking import value_counts, with_position
@@ -207,7 +207,8 @@ def pred_sink(spark, directory):
 def _write_models(spark, directory):
     root = fresh_path(spark, "model-predictions")
     lines = star_scan_lines(spark, directory)
-    files.write_model_predictions(final_predictions_of_models(fixed_probabilities(lines), lines, CLASSES, 3), root, CLASSES)
+    probs, tasks = dealt_probabilities(lines)
+    files.write_model_predictions(final_predictions_of_models(probs, lines, CLASSES, 3, tasks), root, CLASSES)
     return root
 
 
