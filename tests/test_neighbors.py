@@ -105,3 +105,33 @@ def test_approximate_search_and_its_recall(spark):
     assert all(abs(d - ((train[j // 3] - queries[i]) ** 2).sum()) < 1e-9 for (i, j), d in distances.items())
     assert recall(approximate_neighbours(t, q, 5, width=0.05, tables=1), exact) < 0.5
     assert near.groupBy("query_id").count().agg(F.max("count")).first()[0] == 5
+
+
+def test_turns_over_the_cells_give_the_same(spark, monkeypatch):
+    """Cells take turns, nearest first, and what is known already leaves out more of the later ones."""
+    random = np.random.default_rng(6)
+    train, queries = (random.integers(0, 3, (n, 4)).astype(float) for n in (400, 50))
+    t, q = frames(spark, train, queries)
+    whole = neighbour_join(t, q, k=5, pivots=20, cell_rows=20)
+    monkeypatch.setattr(neighbors, "ROUND_VISITS", 50 * 7)
+    turns = neighbour_join(t, q, k=5, pivots=20, cell_rows=20)
+    assert listed(turns.neighbours.collect()) == listed(whole.neighbours.collect()) == brute(train, queries, 5)
+    assert whole.report["rounds"] == 1 < turns.report["rounds"] and turns.report["more_visits"] <= whole.report["more_visits"]
+
+
+def test_only_nearer_rows_leave_a_block():
+    """A query that knows k neighbours takes nothing that is farther than the last of them, nor as far with a higher id."""
+    import pandas as pd
+
+    train = pd.DataFrame({"id": [1, 2, 3, 4], "label": [0, 0, 1, 1], "idx": [[0]] * 4, "val": [[1.0], [2.0], [2.0], [9.0]]})
+    query = pd.DataFrame({"id": [7], "idx": [np.zeros(0, int)], "val": [np.zeros(0)], "reach2": [4.0], "reach_id": [3]})
+    assert neighbors._best(query, train, 4)["neighbour_id"].tolist() == [1, 2]
+    assert neighbors._best(query.drop(columns=["reach2", "reach_id"]), train, 4)["neighbour_id"].tolist() == [1, 2, 3, 4]
+
+
+def test_rare_and_common_columns_give_the_same_products():
+    random = np.random.default_rng(8)
+    dense = [np.round(random.normal(size=(n, 60)) * (random.random((n, 60)) < np.linspace(0.005, 0.9, 60)), 3) for n in (30, 400)]
+    a, b = (Rows([np.flatnonzero(r) for r in m], [r[r != 0] for r in m]) for m in dense)
+    assert len(b.by_column().rare) > 0 and len(b.by_column().slices) == 1
+    assert np.allclose(neighbors.products(a, b), dense[0] @ dense[1].T)
